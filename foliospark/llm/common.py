@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,12 @@ def fields(df: DataFrame, key: str = "row_id") -> DataFrame:
 def tokenizer_path(name: str) -> str:
     """A file of the public tokenizers; the folder is a parameter (environment TOKENIZERS_DIR)."""
     return os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), name)
+
+
+def spool(df: DataFrame) -> DataFrame:
+    """Written as a table into the shared checkpoint folder and read back: compressed, survives lost executors."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/spool-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -11,17 +11,18 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from . import mojibake
 from .common import fields
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _restore(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else mojibake.restore(v))
 
 
-@F.pandas_udf("struct<restored string, found boolean>")
+@F.pandas_udf(StructType([StructField("restored", StringType()), StructField("found", BooleanType())]))
 def _examine(values: pd.Series) -> pd.DataFrame:
     restored = [None if v is None else mojibake.restore(v) for v in values]
     return pd.DataFrame({"restored": restored, "found": [mojibake.garbled(v, r) for v, r in zip(values, restored)]})
