@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import importlib.util
 
-from pyspark.sql import DataFrame, SparkSession
+from .registry import ORACLES, QUERIES, Query
 
+MODULES = ("text_queries", "table_queries", "layout_queries", "extract_queries")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def _load() -> None:
+    for m in MODULES:
+        if importlib.util.find_spec(f"{__package__}.{m}"):
+            importlib.import_module(f"{__package__}.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
