@@ -1,41 +1,27 @@
 """Problem 4 on DataFrames: find and undo wrong decodings.
 
-A regular expression in the JVM lets only suspicious values through to Python
-(all others arrive as null, which costs a bit each); there
-:mod:`mojibake` maps characters to legacy bytes, runs the byte-structure
-automaton and decodes the well-formed spans.  Row-local: no shuffle.
+Row-local, without a shuffle: a worker looks at the set of a text's characters
+(:mod:`gate`), and only suspicious values go through :mod:`mojibake`, which maps
+characters to legacy bytes, runs the byte-structure automaton and decodes the
+well-formed spans.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
-
-from . import mojibake
-from .common import fields
-
+from collections.abc import Iterator
 
-@F.pandas_udf(StringType())
-def _restore(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else mojibake.restore(v))
-
-
-@F.pandas_udf(StructType([StructField("restored", StringType()), StructField("found", BooleanType())]))
-def _examine(values: pd.Series) -> pd.DataFrame:
-    restored = [None if v is None else mojibake.restore(v) for v in values]
-    return pd.DataFrame({"restored": restored, "found": [mojibake.garbled(v, r) for v, r in zip(values, restored)]})
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from . import gate, mojibake
 
-def suspicious(value: Column) -> Column:
-    """Superset of the damaged values."""
-    return value.rlike("[^\\x00-\\x7f]") & value.rlike(mojibake.PREFILTER)
+FIELDS = ("text", "heading_context")
 
 
-def repaired(value: Column) -> Column:
-    """The value with restorable damage undone; null stays null."""
-    return F.coalesce(_restore(F.when(suspicious(value), value)), value)
+def read_fields(df: DataFrame, key: str) -> DataFrame:
+    """(key, text, heading_context)."""
+    return df.select(F.col(key), F.col("text").alias("text"), F.col("metadata.heading_context").alias("heading_context"))
 
 
 def repair_encoding(df: DataFrame, key: str = "row_id") -> DataFrame:
@@ -43,9 +29,17 @@ def repair_encoding(df: DataFrame, key: str = "row_id") -> DataFrame:
 
     Null and empty fields never have any.
     """
-    return (
-        fields(df, key).where(suspicious(F.col("value")))
-        .withColumn("_x", _examine("value"))
-        .where("_x.found")
-        .select(key, "field", F.col("_x.restored").alias("restored"))
-    )
+    src = read_fields(df, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, names, values, ids = [], [], [], b.column(0)
+            for name, column in zip(FIELDS, b.columns[1:]):
+                for i, v in enumerate(column.to_pylist()):
+                    if v and not gate.ordinary(v) and gate.encoding_suspect(v):
+                        r = mojibake.restore(v)
+                        if mojibake.garbled(v, r):
+                            keys.append(i), names.append(name), values.append(r)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keys, pa.int64())), pa.array(names, pa.string()), pa.array(values, pa.string())], names=[key, "field", "restored"])
+
+    return src.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, field string, restored string")

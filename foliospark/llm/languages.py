@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import encoding_repair, lookalike_chars, lookalikes, mojibake
+from . import gate
 from .token_budget import LANGUAGE_NAMES, language_code
 
 #: Bound of the training sample: rows a language, those of the lowest hash of their id.
@@ -202,14 +202,7 @@ def train(chunks: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
         .select("text", "lang")
         .collect()
     )
-    return LanguageModel([(lookalike_chars.map_lookalikes(mojibake.restore(r.text)) if not r.text.isascii() and len(r.text) < 4000 and _damaged(r.text) else r.text, r.lang) for r in sample])
-
-
-_DAMAGE = re.compile("[ÃÂ√├╬�̀-ͯ​-‍]")
-
-
-def _damaged(text: str) -> bool:
-    return bool(_DAMAGE.search(text))
+    return LanguageModel([(gate.plain(r.text), r.lang) for r in sample])
 
 
 def segments(chunks: DataFrame, model: LanguageModel | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -220,26 +213,23 @@ def segments(chunks: DataFrame, model: LanguageModel | None = None, extra: dict[
     """
     model = model or train(chunks)
     extra = extra or {}
-    suspect = lookalikes.suspicious(F.col("text")) | encoding_repair.suspicious(F.col("text"))
     shared = chunks.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_ROWS rows a language
-    src = chunks.select("row_id", *(c.alias(n) for n, c in extra.items()), F.coalesce(suspect, F.lit(False)).alias("_s"), F.col("text").alias("_t"))
+    src = chunks.select("row_id", *(c.alias(n) for n, c in extra.items()), F.col("text").alias("_t"))
     keep = ["row_id", *extra]
     passage = "array<struct<lang:string,first_word:int,end_word:int,confidence:double>>"
-    out = src.select(*keep).schema.add("n_words", "int")
-    out = out.add("passages", passage)
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.select(*keep).schema) + f", n_words int, passages {passage}"
+    names = [*keep, "n_words", "passages"]
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("confidence", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = shared.value
         for b in batches:
             counts, found = [], []
-            for s, t in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()):
-                if s:
-                    t = lookalike_chars.map_lookalikes(mojibake.restore(t))
-                n, m = lm.words(t or "")
+            for t in b.column(len(keep)).to_pylist():
+                n, m = lm.words(gate.plain(t) if t else "")
                 counts.append(n)
                 found.append([{"lang": lm.languages[k], "first_word": a, "end_word": e, "confidence": c} for k, a, e, c in passages(m)])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(counts, pa.int32()), pa.array(found, kind)], names=out.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(counts, pa.int32()), pa.array(found, kind)], names=names)
 
     return src.mapInArrow(run, out)
 

@@ -35,7 +35,8 @@ _SPACE = regex.compile(f"[{SPACES}]")
 _FORM = regex.compile(f"[{FORMS}]+")
 _MARK = regex.compile(rf"\p{{L}}[{MARKS}]+")
 _SIGN = regex.compile(r"(?<=\p{L})([aeiouAEIOUncNCIıі])([´ˊ`ˋ¨˜ˆ¸‘ʹ])(?=\p{Ll})|(?<![\p{L}])([aeiouAEIOU])([´ˊ¨‘])(?=\p{Ll}{2})")
-_MIXED = regex.compile(rf"[{_LAT}{_CYR}{_GRK}]+")
+#: Words that hold letters of several alphabets.
+_MIXED = regex.compile(rf"(?:[{_LAT}]+[{_CYR}{_GRK}]|[{_CYR}]+[{_LAT}{_GRK}]|[{_GRK}]+[{_LAT}{_CYR}])[{_LAT}{_CYR}{_GRK}]*")
 _L, _C, _G = regex.compile(f"[{_LAT}]"), regex.compile(f"[{_CYR}]"), regex.compile("[Ͱ-Ͽἀ-῿]")
 
 #: Java regular expression: superset of the values that map_lookalikes changes.

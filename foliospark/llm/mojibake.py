@@ -67,8 +67,19 @@ def _image(charset: str) -> _Image:
     return _Image(_to_bytes(charset))
 
 
+@lru_cache(None)
+def _pair_pattern(charset: str) -> re.Pattern:
+    """A lead byte and a continuation byte, as characters of the charset: what any span begins with."""
+    table = _to_bytes(charset)
+    lead = "".join(re.escape(chr(c)) for c, b in table.items() if 0xC2 <= b <= 0xF4)
+    tail = "".join(re.escape(chr(c)) for c, b in table.items() if 0x80 <= b <= 0xBF)
+    return re.compile(f"[{lead}][{tail}]")
+
+
 def _spans(text: str, charset: str) -> list[tuple[int, int, str]]:
     out = []
+    if not _pair_pattern(charset).search(text):
+        return out
     for m in _UTF8.finditer(text.translate(_image(charset))):
         s = m.group().encode("latin-1").decode("utf-8")
         if _PLAUSIBLE.fullmatch(s):
@@ -218,5 +229,5 @@ def garbled(text: str | None, restored: str | None = None) -> bool:
 PREFILTER = (
     "[\\x{fffd}\\x{80}-\\x{84}\\x{86}-\\x{9f}ŽžŠšŸƒˆ˜‰¢-¦¨¯´¸ÅåÐÞðþØøÆæÝýÿ÷√∞∫∂∆∏∑≈≠≤≥◊ˇ˘-˝ı⌐⌠⌡─-■₧\\x{f8ff}]"
     "|[ÂÃÎÏâãÑÌÍËÊÅ][\\x{80}-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|[РСВГП][\\x{a0}-»‚-›Ђ-ЏЁђ-џё]{1}[РСВГ\\x{a0}-»‚-›Ђ-Џђ-џ]|[¬œ–—“”‘’‚‡·„ÀÃÕŒ€‹›ÿ][°-³§ß®©™´¨Æ∞Øµªºæøáàâäãåçéèêëíìîïñóòôõöúùûü†¢£•¶Ä-Ü]"
-    "|\\p{L}[·–—„‚“”†‡‰‹›¿¡ªº«»°§¶¬™®©±µ¼½²³¹…•×ⁿ]+\\p{L}|\\p{IsLatin}[‡‹›„·]|[‡‹„·]\\p{IsLatin}|[a-zß-öø-ÿ][À-ÖØ-Þ]|(?<!\\p{L})[ñÑûïò¥](?!\\p{L})|\\p{IsLatin}[α-ωΑ-Ω]|[α-ωΑ-Ω]\\p{IsLatin}|╨|╤|[╬╧╠]|[оп°-·п][─-╬]"
+    "|Ô[Çé]|\\p{L}[·–—„‚“”†‡‰‹›¿¡ªº«»°§¶¬™®©±µ¼½²³¹…•×ⁿ]+\\p{L}|\\p{IsLatin}[‡‹›„·]|[‡‹„·]\\p{IsLatin}|[a-zß-öø-ÿ][À-ÖØ-Þ]|(?<!\\p{L})[ñÑûïò¥](?!\\p{L})|\\p{IsLatin}[α-ωΑ-Ω]|[α-ωΑ-Ω]\\p{IsLatin}|╨|╤|[╬╧╠]|[оп°-·п][─-╬]"
 )
