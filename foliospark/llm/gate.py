@@ -23,7 +23,7 @@ PLAIN_GREEK = frozenset(_ASCII + _GREEK + "’“”«»„–—•…§€№
 _TRIGGERS = frozenset("âãÄÖÜÉÓÚÍÁÀÑÇÊœ€«»„“”–—•…§ªº©ñûïò½")
 _PAIRS = re.compile(  # every branch begins with a rare character, which makes the search fast
     "[À-ÖØ-Þ](?<=[a-zß-öø-ÿ].)|[âãÑÊ][\x80-¿€„…“”•–—œ™‚ƒ†‡ˆ‰Š‹ŒŽ‘’š›žŸ]|[–—„“”ªº«»§©…•€½](?<=[A-Za-zÀ-ÿ].)[A-Za-zÀ-ÿ–—„“”ªº«»§©…•€½]"
-    "|[ñÑûïò](?<![A-Za-zÀ-ÿ].)(?![A-Za-zÀ-ÿ])|[œ–—“”’„ÀÃ€«»…Ä-Ü][§©ªºáàâäãçéèêëíìîïñóòôöõúùûü•Ä-Ü]"
+    "|[ñÑûïòÄ](?<![A-Za-zÀ-ÿ].)(?![A-Za-zÀ-ÿ])|[ãÇ](?=[A-Z0-9]{1,3}-?[A-Z0-9]*[0-9])|[ÓÒÈ](?<=[0-9].)|[œ–—“”’„ÀÃ€«»…Ä-Ü][§©ªºáàâäãçéèêëíìîïñóòôöõúùûü•Ä-Ü]"
 )
 _ENCODING = re.compile(
     mojibake.PREFILTER.replace("\\x{fffd}", "�").replace("\\x{80}", "\x80").replace("\\x{84}", "\x84").replace("\\x{86}", "\x86").replace("\\x{9f}", "\x9f").replace("\\x{f8ff}", "")
@@ -41,11 +41,11 @@ def ordinary(text: str) -> bool:
     chars = set(text)
     if chars <= PLAIN:
         return not (chars & _TRIGGERS) or not _PAIRS.search(text)
-    return (chars <= PLAIN_CYRILLIC or chars <= PLAIN_GREEK) and not _MIXED.search(text)
+    return (chars <= PLAIN_CYRILLIC or chars <= PLAIN_GREEK) and not _MIXED.search(text) and not mojibake._CYRILLIC_CAPS.search(text)
 
 
 def encoding_suspect(text: str) -> bool:
-    return not text.isascii() and bool(_ENCODING.search(text))
+    return not text.isascii() and bool(_ENCODING.search(text) or mojibake._ODD.search(text) or mojibake._CYRILLIC_CAPS.search(text))
 
 
 def lookalike_suspect(text: str) -> bool:

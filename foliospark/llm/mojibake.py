@@ -25,7 +25,7 @@ UTF8_READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp
 BYTE_PAIRS = (
     ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"),
     ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("cp1253", "cp1252"),
-    ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"),
+    ("cp1251", "mac_roman"), ("koi8-r", "mac_roman"), ("cp1253", "mac_roman"), ("cp1251", "cp437"), ("cp1253", "cp437"), ("cp1251", "cp850"), ("iso8859-5", "cp1252"),
 )
 MAX_ROUNDS = 4
 
@@ -122,6 +122,7 @@ _L = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ"
 #: Where a token may hold a byte read in another one-byte charset.
 _ODD = re.compile(
     f"[{_STRONG}]|[{_L}][·–—„‚“”†‡‰‹›¿¡ªº«»°§¶¬™®©±µ¼½²³¹…•×ⁿ€α-ωΑ-Ω]+[{_L}]|[a-zß-öø-ÿ][À-ÖØ-Þ]|(?<![{_L}])(?:[ñÑûïò¥])(?![{_L}])"
+    f"|(?<![{_L}])[ÛÄËÎÏÌÒÔ](?![{_L}])|(?<![{_L}])[ÛÒÌËÏÙÈ†‡][a-zß-öø-ÿ]|[ÒãÇ](?=[A-Z0-9]{{1,3}}-?[A-Z0-9]*[0-9])|(?<=[0-9])[ÒÓÈ]|Õ(?=[A-DF-ZÀ-Þ])"
     f"|[{_L}][‡‹„·≤≥]|[‡‹·][{_L}]|[α-ωΑ-Ω][{_L}]|[{_L}][α-ωΑ-Ω]"
 )
 _TOKEN = re.compile(r"\S+")
@@ -156,6 +157,8 @@ def _word_ok(token: str, cyrillic: bool) -> bool:
     """Ordinary after the change: one alphabet, no capital inside a word, no foreign sign."""
     if _ODD.search(token):
         return False
+    if len(token) == 1 and token.isalpha() and token not in "àáâéèêíóôòúùyÀÁÉÈÍÓÚ" and not cyrillic:  # a letter alone, from another letter alone
+        return False
     for w in _ENDS.split(token):
         for part in w.split("’"):
             if not part:
@@ -204,6 +207,36 @@ def _undo_bytes(text: str) -> str:
     return _TOKEN.sub(fix, text)
 
 
+# The most frequent letter pairs of Russian.
+_RUSSIAN_PAIRS = frozenset("ст но то на ен ов ни ра во ко пр ро ре ла ер ос ли по та ет ри ан ль ва ог ел ор ии де ие ка ат ле ле не го ол да ит ар аз за об".split())
+_CYRILLIC_WORD = re.compile("[А-Яа-яЁё]{3,}")
+#: Swapped Cyrillic charsets show as words in capitals, because the halves of the tables lie the other way round.
+_CYRILLIC_CAPS = re.compile("[А-ЯЁ]{3,}")
+
+
+def _russian(word: str) -> int:
+    w = word.lower()
+    return sum(w[i : i + 2] in _RUSSIAN_PAIRS for i in range(len(w) - 1))
+
+
+def _undo_cyrillic(text: str) -> str:
+    """Words read in another Cyrillic charset, where that gives far more of the language's letter pairs."""
+    words = set(_CYRILLIC_CAPS.findall(text)) and set(_CYRILLIC_WORD.findall(text))
+    if not words:
+        return text
+    for written, read in (("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "iso8859-5"), ("iso8859-5", "cp1251"), ("koi8-r", "iso8859-5"), ("cp866", "cp1251"), ("cp1251", "cp866")):
+        table = _pair(written, read)
+        # words in capitals that turn to the language's pairs in small letters
+        bad = {w: n for w in words if (n := w.translate(table)) != w and n.isalpha() and (n.islower() or n[1:].islower()) and not w.islower() and _russian(n) > 2 * _russian(w) and _russian(n) * 4 >= len(n)}
+        if sum(map(len, bad)) >= 8:
+            # short words beside them go the same way
+            return _CYRILLIC_WORD_ANY.sub(lambda m: bad.get(m.group()) or (m.group().translate(table) if m.group().isupper() and _russian(m.group().translate(table)) >= _russian(m.group()) else m.group()), text)
+    return text
+
+
+_CYRILLIC_WORD_ANY = re.compile("[А-Яа-яЁё]+")
+
+
 def restore(text: str) -> str:
     """The text with all restorable damage undone; itself when there is none."""
     for _ in range(MAX_ROUNDS):
@@ -211,18 +244,23 @@ def restore(text: str) -> str:
         if new is None or new == text:
             break
         text = new
-    return _undo_bytes(text)
+    return _undo_cyrillic(_undo_bytes(text))
 
 
 #: What stays of damage that cannot be restored.
 _LOST = re.compile("[\ufffd\x80-\x84\x86-\x9f]|[Ãâ][€¢‚©]|Ã[¡-¿]|Â[¡-¿\xa0]|â€")
 
 
+#: Signs foreign to ordinary texts, at a letter: damage that no pair of charsets explains.
+_FOREIGN_SIGN = re.compile(f"[{_STRONG}](?<=[{_L}].)|[{_STRONG}][{_L}]")
+
+
 def garbled(text: str | None, restored: str | None = None) -> bool:
     """Whether the field holds characters from a wrong decoding (restorable or not)."""
     if not text:
         return False
-    return bool(_LOST.search(text)) or (restore(text) if restored is None else restored) != text
+    restored = restore(text) if restored is None else restored
+    return restored != text or bool(_LOST.search(text) or _FOREIGN_SIGN.search(restored))
 
 
 #: Superset of the texts that :func:`garbled` can hold for, as a Java regular expression.
