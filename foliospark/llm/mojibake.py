@@ -122,6 +122,7 @@ _L = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ"
 #: Where a token may hold a byte read in another one-byte charset.
 _ODD = re.compile(
     f"[{_STRONG}]|[{_L}][·–—„‚“”†‡‰‹›¿¡ªº«»°§¶¬™®©±µ¼½²³¹…•×ⁿ€α-ωΑ-Ω]+[{_L}]|[a-zß-öø-ÿ][À-ÖØ-Þ]|(?<![{_L}])(?:[ñÑûïò¥])(?![{_L}])"
+    f"|(?<![{_L}])[ldjnsmtcLDJNSMTC]í[aeiouhéèêàâ][a-zé]{{3}}"
     f"|(?<![{_L}])[ÛÄËÎÏÌÒÔ](?![{_L}])|(?<![{_L}])[ÛÒÌËÏÙÈ†‡][a-zß-öø-ÿ]|[ÒãÇ](?=[A-Z0-9]{{1,3}}-?[A-Z0-9]*[0-9])|(?<=[0-9])[ÒÓÈ]|Õ(?=[A-DF-ZÀ-Þ])"
     f"|[{_L}][‡‹„·≤≥]|[‡‹·][{_L}]|[α-ωΑ-Ω][{_L}]|[{_L}][α-ωΑ-Ω]"
 )
