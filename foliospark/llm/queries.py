@@ -59,7 +59,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every non-null field in its consistent form."""
     c = chunks(spark, d)
-    changed = lookalikes.unify(c).select("row_id", "field", "canonical")
+    changed = lookalikes.unify(c).select("row_id", "field", "canonical").dropDuplicates(["row_id", "field"])
     return fields(c).join(changed, ["row_id", "field"], "left").select("row_id", "field", F.coalesce("canonical", "value").alias("value"))
 
 
