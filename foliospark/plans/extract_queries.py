@@ -71,7 +71,7 @@ def invoice_extract_scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query("kv_colon", r"""
 WITH s AS (SELECT row_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM rag_chunks_sample)
-SELECT row_id, trim(regexp_extract(line, '^([^:]+):', 1)) AS key, trim(regexp_extract(line, '^[^:]+:[\t\x0b\f ]*(.+)$', 1)) AS value FROM s WHERE regexp_matches(line, '^[^:]+:[\t\x0b\f ]*[^\t\x0b\f ]')""")
+SELECT row_id, trim(regexp_extract(line, '^([^:]+):', 1), ' ') AS key, trim(regexp_extract(line, '^[^:]+:[\t\x0b\f ]*(.+)$', 1), ' ') AS value FROM s WHERE regexp_matches(line, '^[^:]+:[\t\x0b\f ]*[^\t\x0b\f ]')""")
 def kv_colon(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rag_chunks_sample").select("row_id", F.inline(X.colon_pairs(F.replace("text", F.lit("\r"), F.lit("")))))
 
