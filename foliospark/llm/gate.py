@@ -25,6 +25,7 @@ _PAIRS = re.compile(  # every branch begins with a rare character, which makes t
     "[À-ÖØ-Þ](?<=[a-zß-öø-ÿ].)|[âãÑÊ][\x80-¿€„…“”•–—œ™‚ƒ†‡ˆ‰Š‹ŒŽ‘’š›žŸ]|[–—„“”ªº«»§©…•€½](?<=[A-Za-zÀ-ÿ].)[A-Za-zÀ-ÿ–—„“”ªº«»§©…•€½]"
     "|[ñÑûïòÄ](?<![A-Za-zÀ-ÿ].)(?![A-Za-zÀ-ÿ])|[ãÇ](?=[A-Z0-9]{1,3}-?[A-Z0-9]*[0-9])|[ÓÒÈ](?<=[0-9].)|[œ–—“”’„ÀÃ€«»…Ä-Ü][§©ªºáàâäãçéèêëíìîïñóòôöõúùûü•Ä-Ü]"
 )
+_ELISION = re.compile("í(?<=[ldjnsmtcLDJNSMTC].)(?<![A-Za-zÀ-ÿ]..)[aeiouhéèêàâ][a-zé]{3}")
 _ENCODING = re.compile(
     mojibake.PREFILTER.replace("\\x{fffd}", "�").replace("\\x{80}", "\x80").replace("\\x{84}", "\x84").replace("\\x{86}", "\x86").replace("\\x{9f}", "\x9f").replace("\\x{f8ff}", "")
     .replace("\\x{a0}", "\xa0").replace("\\p{IsLatin}", "[A-Za-zªºÀ-ÖØ-öø-ɏ]").replace("(?<!\\p{L})", "(?<![^\\W\\d_])").replace("(?!\\p{L})", "(?![^\\W\\d_])").replace("\\p{L}", "[^\\W\\d_]")
@@ -34,18 +35,32 @@ _LAT, _CYR, _GRK = "A-Za-zªºÀ-ÖØ-öø-ɏ", "Ѐ-ԯ", "Ͱ-Ͽἀ-῿"
 _MIXED = re.compile(f"[{_LAT}][{_CYR}{_GRK}]|[{_CYR}][{_LAT}{_GRK}]|[{_GRK}][{_LAT}{_CYR}]|[^\\W\\d_][´ˊ`ˋ¨˜ˆ¸‘ʹ][^\\W\\d_]")
 
 
-def ordinary(text: str) -> bool:
-    """Whether the text can hold neither kind of damage, by its characters alone."""
+#: Characters of problem 6; without them the rest of a text decides about wrong decoding.
+_LOOKALIKE = frozenset(c for c in map(chr, [*range(0x80, 0x10000), *range(0x1D400, 0x1D800)]) if _FORMS.match(c))
+
+
+def needs(text: str) -> tuple[bool, bool]:
+    """(may be wrongly decoded, may hold stand-in characters)."""
     if text.isascii():
-        return "`" not in text
+        return False, "`" in text
     chars = set(text)
-    if chars <= PLAIN:
-        return not (chars & _TRIGGERS) or not _PAIRS.search(text)
-    return (chars <= PLAIN_CYRILLIC or chars <= PLAIN_GREEK) and not _MIXED.search(text) and not mojibake._CYRILLIC_CAPS.search(text)
+    rest = chars - _LOOKALIKE
+    if rest <= PLAIN:
+        encoding = bool(rest & _TRIGGERS) and bool(_PAIRS.search(text)) or "í" in rest and bool(_ELISION.search(text))
+        return encoding, encoding or len(rest) < len(chars) or "`" in chars
+    if rest <= PLAIN_CYRILLIC or rest <= PLAIN_GREEK:
+        mixed = bool(_MIXED.search(text))
+        return mixed or bool(mojibake._CYRILLIC_CAPS.search(text)), mixed or len(rest) < len(chars)
+    return True, True
+
+
+def ordinary(text: str) -> bool:
+    """Whether the text can hold neither kind of damage, by its characters alone."""
+    return needs(text) == (False, False)
 
 
 def encoding_suspect(text: str) -> bool:
-    return not text.isascii() and bool(_ENCODING.search(text) or mojibake._ODD.search(text) or mojibake._CYRILLIC_CAPS.search(text))
+    return needs(text)[0] and bool(_ENCODING.search(text) or mojibake._ODD.search(text) or mojibake._CYRILLIC_CAPS.search(text))
 
 
 def lookalike_suspect(text: str) -> bool:
@@ -54,14 +69,12 @@ def lookalike_suspect(text: str) -> bool:
 
 def restored(text: str) -> str:
     """Encoding damage undone."""
-    if ordinary(text) or not encoding_suspect(text):
-        return text
-    return mojibake.restore(text)
+    return mojibake.restore(text) if encoding_suspect(text) else text
 
 
 def plain(text: str) -> str:
     """Encoding damage undone and stand-in characters mapped."""
-    if ordinary(text):
-        return text
-    t = mojibake.restore(text) if encoding_suspect(text) else text
-    return lookalike_chars.map_lookalikes(t) if lookalike_suspect(t) else t
+    encoding, lookalike = needs(text)
+    if encoding and (_ENCODING.search(text) or mojibake._ODD.search(text) or mojibake._CYRILLIC_CAPS.search(text)):
+        text = mojibake.restore(text)
+    return lookalike_chars.map_lookalikes(text) if lookalike and lookalike_suspect(text) else text

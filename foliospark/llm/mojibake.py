@@ -67,6 +67,13 @@ def _image(charset: str) -> _Image:
     return _Image(_to_bytes(charset))
 
 
+@lru_cache(None)
+def _alphabets(charset: str) -> tuple[frozenset, frozenset]:
+    """The characters that lead and continuation bytes of UTF-8 are in the charset."""
+    table = _to_bytes(charset)
+    return frozenset(chr(c) for c, b in table.items() if 0xC2 <= b <= 0xF4), frozenset(chr(c) for c, b in table.items() if 0x80 <= b <= 0xBF)
+
+
 @lru_cache(None)
 def _pair_pattern(charset: str) -> re.Pattern:
     """A lead byte and a continuation byte, as characters of the charset: what any span begins with."""
@@ -95,7 +102,11 @@ def _weight(span: str, charset: str) -> float:
 
 def _undo_utf8(text: str) -> str | None:
     best, best_w = None, 0.9
+    chars = set(text)
     for rank, charset in enumerate(UTF8_READ_AS):
+        lead, tail = _alphabets(charset)
+        if chars.isdisjoint(lead) or chars.isdisjoint(tail):
+            continue
         spans = _spans(text, charset)
         if charset in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "cp1253", "iso8859-7"):
             # here single pairs occur in ordinary Cyrillic or Greek ("СССР»"): ask for a run
@@ -150,7 +161,7 @@ def _pair(written: str, read: str) -> dict[int, str]:
     return table
 
 
-_CASED = re.compile("[a-zß-öø-ÿœ][A-ZÀ-ÖØ-ÞŒ]")
+_CASED = re.compile("[a-zß-öø-ÿœ][A-ZÀ-ÖØ-ÞŒ]|[A-ZÀ-ÖØ-ÞŒ][À-ÖØ-ÞŒ][a-zß-öø-ÿœ]")
 _ENDS = re.compile("[^\\w’]+|[0-9_]+")
 
 
