@@ -21,7 +21,7 @@ def window_spans(tokens: Column, size: int, overlap: int) -> Column:
     size = max(size, 1)
     overlap = min(overlap, size - 1)
     advance = max(1, size - LOOK_BACK + 1 - overlap) if size > LOOK_BACK else 1
-    ends = F.transform(tokens, lambda w: w.rlike(r"[.!?]\z"))
+    ends = F.transform(tokens, lambda w: F.substring(w, -1, 1).isin(".", "!", "?"))
     n = F.size(tokens)
 
     def step(state: Column, _: Column) -> Column:
