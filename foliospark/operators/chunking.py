@@ -18,8 +18,11 @@ def window_spans(tokens: Column, size: int, overlap: int) -> Column:
     LOOK_BACK tokens.  Only index pairs are folded, so the cost is linear in the
     text.  No tokens give no windows.
     """
-    size = max(size, 1)
-    overlap = min(overlap, size - 1)
+    # bound once: an inlined token expression would be evaluated again at every step
+    return F.transform(F.array(tokens), lambda t: _window_spans(t, max(size, 1), min(overlap, max(size, 1) - 1)))[0]
+
+
+def _window_spans(tokens: Column, size: int, overlap: int) -> Column:
     advance = max(1, size - LOOK_BACK + 1 - overlap) if size > LOOK_BACK else 1
     ends = F.transform(tokens, lambda w: F.substring(w, -1, 1).isin(".", "!", "?"))
     n = F.size(tokens)
