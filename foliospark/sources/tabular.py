@@ -1,11 +1,10 @@
-"""The token-efficient tabular form: a marker line, a header, a tab-separated row per chunk; written and read back."""
+"""The token-efficient tabular form: a tab-separated row per chunk, written and read back."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARKER = "#oxct/1"
 COLUMNS = ("id", "chunk_id", "pages", "tokens", "content")
 
 
