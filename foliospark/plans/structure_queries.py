@@ -142,10 +142,11 @@ _CSQL = [f"len(regexp_extract_all(text, '{p}'))" for p in _CONTRACT.values()]
 
 @query("contract_facts", f"SELECT doc_id, {_CSQL[0]} + {_CSQL[1]} + {_CSQL[2]} AS dates, {_CSQL[3]} AS clauses, CASE WHEN {_CSQL[0]} + {_CSQL[1]} + {_CSQL[2]} + {_CSQL[3]} = 0 THEN 0.0 ELSE (0.9 * ({_CSQL[0]} + {_CSQL[1]} + {_CSQL[2]}) + 0.8 * {_CSQL[3]}) / ({_CSQL[0]} + {_CSQL[1]} + {_CSQL[2]} + {_CSQL[3]}) END AS confidence FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~\\n]*$')")
 def contract_facts(spark: SparkSession, d: str) -> DataFrame:
-    n = [F.regexp_count("text", F.lit(p)) for p in _CONTRACT.values()]
+    """Dates and clause words of every text, words bounded as Unicode has them; the SQL covers printable ASCII and line feeds only."""
+    n = [F.regexp_count("text", F.lit(f"(?U){p}")) for p in _CONTRACT.values()]
     dates, every = n[0] + n[1] + n[2], n[0] + n[1] + n[2] + n[3]
     score = F.when(every == 0, 0.0).otherwise((0.9 * dates + 0.8 * n[3]) / every)
-    return table(spark, d, "documents").where("text is not null").where(F.col("text").rlike(r"\A[ -~\n]*\z")).select("doc_id", dates.alias("dates"), n[3].alias("clauses"), score.alias("confidence"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", dates.alias("dates"), n[3].alias("clauses"), score.alias("confidence"))
 
 
 @query("date_mask", "SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS us, strftime(o_orderdate, '%d.%m.%Y') AS eu, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
