@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fewest words a page is judged by.
+#: Fewest words, and links without words, a page is judged by.
 LEAST_WORDS = 12
 #: Share of the units that the non-sentence shapes must hold, the number of shapes that may do so, and the most distinct words among theirs.
 LIST_SHARE, TOP_SHAPES, DISTINCT, DISTINCT_LINKS = 0.5, 8, 0.6, 0.8
@@ -101,8 +101,9 @@ def judge(text: str | None) -> dict[str, float]:
     if not text or not text.strip():
         return zero
     shaped = [shape(u) for u in units(text)]
-    shaped = [x for x in shaped if x[1] or x[0][0] in "DIF"]
-    total = sum(len(w) for s, w in shaped)
+    shaped = [x for x in shaped if x[1] or x[0][0] in "DIFL"]
+    # a link without words counts as one word, the same in all such links
+    total = sum(len(w) or s[0] == "L" for s, w in shaped)
     if not shaped or total < LEAST_WORDS:
         return zero | {"units": len(shaped)}
     groups = Counter()
@@ -113,7 +114,7 @@ def judge(text: str | None) -> dict[str, float]:
     top_lists = lists.most_common(TOP_SHAPES)
     share = sum(n for _, n in top_lists) / weight
     keep = {s for s, _ in top_lists}
-    kw = [x for s, w in shaped if s in keep for x in w]
+    kw = [x for s, w in shaped if s in keep for x in w or ("",)]
     n_kw = len(kw)
     links = sum(n for k, n in top_lists if k[0] in "L#") / max(1, sum(n for _, n in top_lists))
     distinct = len(set(kw)) / n_kw**0.85 * 1.0 if n_kw else 9.0

@@ -25,3 +25,14 @@ def test_long_pages_of_many_words_are_judged(spark):
     pages = [f"{prose}\n{listed}", linked]
     assert all(stuffing.judge(p)["spam"] for p in pages)
     assert flagged(spark, pages) == {0, 1}
+
+
+def test_links_without_words_count():
+    hosts = "\n".join(f"scan-list{i}.example" for i in range(40))
+    paths = "\n".join(f"https://a.example/{12345 + i}" for i in range(40))
+    prose = " ".join(f"The {w} of the registry is kept in another drawer." for w in words(3))
+    assert all(stuffing.judge(p)["spam"] for p in (hosts, paths, f"{prose}\n{hosts}"))
+    few = "\n".join(hosts.split("\n")[:5])
+    assert not stuffing.judge(few)["spam"]
+    long = " ".join(f"The {a} board reads {b} in {c}." for a, b, c in zip(words(40), words(40, 6), words(40, 7)))
+    assert not stuffing.judge(f"{long}\n{few}")["spam"]
