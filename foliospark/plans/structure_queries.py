@@ -56,11 +56,11 @@ def text_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("range_to_fragments", f"SELECT doc_id, page_idx, CAST(r.unnest AS BIGINT) AS chunk, seq FROM {_POS}, unnest([0, 1, 2]) r WHERE start < (r.unnest + 1) * 200 AND start + n > r.unnest * 200")
 def range_to_fragments(spark: SparkSession, d: str) -> DataFrame:
-    """Character ranges of 200 to the fragments they overlap: each fragment names its ranges by arithmetic, no range join."""
+    """All character ranges of 200 to the fragments they overlap: each fragment names its ranges by arithmetic, no range join; the SQL covers the first three."""
     p = S.text_positions(L.once(table(spark, d, "fragments")))
     first, last = F.floor(F.col("start") / 200), F.ceil(F.col("stop") / 200) - 1
     spans = p.where("stop > start or start % 200 <> 0").withColumn("chunk", F.explode(F.sequence(first, F.greatest(first, last))))
-    return spans.where("chunk <= 2").select("doc_id", "page_idx", "chunk", "seq")
+    return spans.select("doc_id", "page_idx", "chunk", "seq")
 
 
 @query("list_regions", f"""
@@ -84,9 +84,9 @@ def numeric_title(spark: SparkSession, d: str) -> DataFrame:
 @query("line_break_auto", r"""
 SELECT row_id, regexp_replace(replace(text, chr(13), ''), '([^.!?:\n])\n([^\n])', '\1 \2', 'g') AS text FROM rag_chunks_sample WHERE NOT regexp_matches(replace(text, chr(13), ''), '\n[^\n]\n')""")
 def line_break_auto(spark: SparkSession, d: str) -> DataFrame:
-    """A line goes on in the next one unless it ends a sentence or the next is empty."""
+    """A line goes on in the next one unless it ends a sentence or the next is empty; the SQL leaves out texts with lines of one character."""
     t = F.replace("text", F.lit("\r"), F.lit(""))
-    return table(spark, d, "rag_chunks_sample").where(~t.rlike(r"\n[^\n]\n")).select("row_id", F.regexp_replace(t, r"(?<=[^.!?:\n])\n(?=[^\n])", " ").alias("text"))
+    return table(spark, d, "rag_chunks_sample").select("row_id", F.regexp_replace(t, r"(?<=[^.!?:\n])\n(?=[^\n])", " ").alias("text"))
 
 
 @query("pages_json", """

@@ -49,3 +49,21 @@ def test_rows_of_the_narrower_sql_are_among_all_rows(name, spark, sf):
     cols, rows = spark_rows(core.queries()[name](spark, sf))
     want_cols, want = duck_rows(con, core.oracle_sql()[name])
     assert cols == want_cols and not Counter(want) - Counter(rows)
+
+
+def test_ranges_cover_the_whole_page(spark, tmp_path):
+    texts = ["x" * n for n in (30, 450, 1, 700, 200, 90, 333)]
+    spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(texts)], "doc_id bigint, page_idx int, seq int, text string").write.parquet(f"{tmp_path}/fragments.parquet")
+    want, at = set(), 0
+    for i, t in enumerate(texts):
+        want |= {(p // 200, i) for p in range(at, at + len(t))}
+        at += len(t) + 1
+    got = [(r.chunk, r.seq) for r in core.queries()["range_to_fragments"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and max(want)[0] > 2
+
+
+def test_line_break_auto_keeps_every_row(spark, tmp_path):
+    texts = ["a\nb\nc", "One.\nx\n\ny\r\nz", "end\n\nnext\n", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string").write.parquet(f"{tmp_path}/rag_chunks_sample.parquet")
+    got = {r.row_id: r.text for r in core.queries()["line_break_auto"](spark, str(tmp_path)).collect()}
+    assert got == {0: "a b c", 1: "One.\nx\n\ny z", 2: "end\n\nnext\n", 3: "", 4: None}
