@@ -4,7 +4,8 @@ Each text is cut into units (lines, or list items where a line holds many), and
 each unit is reduced to a shape: its kind, the number of words, capitals,
 separators, codes, prices and links.  Units are grouped by shape; a page is
 flagged when a few non-sentence shapes hold most of its units and the words in
-them repeat, or when its sentences echo the same few words.  Index entries,
+them repeat, when tags hold most of it, or when its sentences echo the same few
+words.  A long run of words that no mark ends is no sentence.  Index entries,
 contents lines, dated entries and labelled fields are shapes of their own and
 never count as keyword shapes.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: Fewest words, and links without words, a page is judged by.
 LEAST_WORDS = 12
-#: Share of the units that the non-sentence shapes must hold, the number of shapes that may do so, and the most distinct words among theirs.
-LIST_SHARE, TOP_SHAPES, DISTINCT, DISTINCT_LINKS = 0.5, 8, 0.6, 0.8
+#: Share of the units that the non-sentence shapes must hold, the number of shapes that may do so, and the most distinct words among theirs (more for links, and for pages of nothing else).
+LIST_SHARE, TOP_SHAPES, DISTINCT, DISTINCT_LINKS, DISTINCT_ALL_LINKS = 0.5, 8, 0.6, 0.8, 0.9
 #: Share of sentences with an echo, and share of the ten commonest longer words.
 ECHO_SHARE, TOP_WORDS, LEAST_SENTENCES = 0.45, 0.45, 6
 
@@ -31,6 +33,9 @@ _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{2,4}\b")
 _PRICE = re.compile(r"\d[\d.,]*\s?(?:€|\$|£|EUR|USD)|[€$£]\s?\d[\d.,]*")
 _INDEX = re.compile(r"(?:,\s*\d+)+\s*$|\.{3,}\s*\d+\s*$|^\s*(?:\d+\.)+\d*\s")
 _CODE = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
+#: The code behind a tag's words.
+_TAG_CODE = re.compile(r"[A-Z]{0,2}\d\w*")
 _WORD = re.compile(r"[^\W\d_]+")
 _INLINE = re.compile(r"\s*[,/|·•;*»–—]\s*|\s-\s")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -38,61 +43,79 @@ _FIELD = re.compile(r"^[^:]{2,40}:\s|\t")
 _PATH = re.compile(r"[/+_\-=?.&%#]+")
 
 
+def _separators(x: str) -> int:
+    """How many matches _INLINE has, by counting characters."""
+    n = x.count
+    return n(",") + n("/") + n("|") + n("·") + n("•") + n(";") + n("*") + n("»") + n("–") + n("—") + n(" - ")
+
+
+def _linked(x: str) -> bool:
+    """Whether _URL may match: it needs a dot within, or two slashes."""
+    return -1 < x.find(".") < len(x) - 2 or "//" in x
+
+
 def units(text: str) -> list[str]:
     lines = [x for x in (y.strip() for y in text.split("\n")) if x]
     if not lines:
         return []
     out: list[str] = []
-    seps = len(_INLINE.findall(text))
     # keyword lists wrapped at any word: the line ends mean nothing
-    joined = seps > 3 * len(lines) and sum(x[-1] in ".!?" for x in lines) < 0.5 * len(lines)
+    joined = _separators(text) > 3 * len(lines) and sum(x[-1] in ".!?" for x in lines) < 0.5 * len(lines)
     if joined and sum(bool(_INDEX.search(x) or _DATE.search(x)) for x in lines) < 0.3 * len(lines):
         lines = [" ".join(lines)]
     else:
         glued: list[str] = []
         for x in lines:  # a sentence that goes on in the next line
-            if glued and glued[-1][-1] not in ".!?:;" and len(glued[-1]) > 60 and x[:1].islower() and not _URL.search(glued[-1]) and not _INDEX.search(glued[-1]):
+            if glued and x[0].islower() and len(glued[-1]) > 60 and glued[-1][-1] not in ".!?:;" and not (_linked(glued[-1]) and _URL.search(glued[-1])) and not _INDEX.search(glued[-1]):
                 glued[-1] += " " + x
             else:
                 glued.append(x)
         lines = glued
     for x in lines:
-        if "#" in x and x.count("#") > 3:
+        if x.count("#") > 3:
             out += ["#" + y for y in x.split("#") if y.strip()]
             continue
-        for y in _SENTENCE_END.split(x):
-            parts = _INLINE.split(y)
-            if len(parts) > 6 and not _INDEX.search(y) and sum(len(_WORD.findall(p)) for p in parts) <= 6 * len(parts):
-                out += [p for p in parts if p.strip()]
-            else:
-                out.append(y)
+        for y in _SENTENCE_END.split(x) if "." in x or "!" in x or "?" in x else (x,):
+            if _separators(y) >= 6 and not _INDEX.search(y):
+                parts = _INLINE.split(y)
+                if len(parts) > 6 and sum(len(_WORD.findall(p)) for p in parts) <= 6 * len(parts):
+                    out += [p for p in parts if p.strip()]
+                    continue
+            out.append(y)
     return out
 
 
 def shape(unit: str) -> tuple[str, list[str]]:
     """(shape, words): the shape's first letter is its kind."""
-    if unit.startswith("#"):
-        return "#", _WORD.findall(_CODE.sub(lambda m: re.sub(r"\d\w*", "", m.group()), unit).lower())
-    links = _URL.findall(unit)
-    bare = _URL.sub(" ", unit)
-    dated = bool(_DATE.search(bare))
-    priced = bool(_PRICE.search(bare))
-    indexed = bool(_INDEX.search(bare)) and not links
-    plain = _CODE.sub(" ", _PRICE.sub(" ", bare))
-    words = _WORD.findall(plain)
-    caps = sum(w[0].isupper() for w in words)
-    if links and not dated:
-        path = [w for u in links for w in _WORD.findall(_PATH.sub(" ", u.split("//")[-1].partition("/")[2]))]
-        return f"L{min(len(words), 6)}", [w.lower() for w in words + path if w.lower() not in ("html", "htm", "php", "q")]
+    if unit[0] == "#":
+        return "#", _WORD.findall(_TAG_CODE.sub("", unit).lower())
+    links, bare = [], unit
+    if _linked(unit) and (links := _URL.findall(unit)):
+        bare = _URL.sub(" ", unit)
+    dated = priced = indexed = False
+    plain = bare
+    if _DIGIT.search(bare):
+        dated, priced = bool(_DATE.search(bare)), bool(_PRICE.search(bare))
+        indexed = not links and bool(_INDEX.search(bare))
+        plain = _CODE.sub(" ", _PRICE.sub(" ", bare) if priced else bare)
     if dated:
-        return f"D{min(len(words), 6)}", []
+        return f"D{min(len(_WORD.findall(plain)), 6)}", []
+    if links:
+        words = _WORD.findall(plain.lower())
+        path = [w for u in links for w in _WORD.findall(_PATH.sub(" ", u.split("//")[-1].partition("/")[2]).lower())]
+        return f"L{min(len(words), 6)}", [w for w in words + path if w not in ("html", "htm", "php", "q")]
     if indexed:
-        return f"I{min(len(words), 8)}", []
-    if len(words) >= 4 and bare.rstrip("\"'”»)] ").endswith((".", "!", "?", ";", "…")) or len(words) > 9:
-        return f"S{min(len(words) // 3, 8)}", [w.lower() for w in words]
+        return f"I{min(len(_WORD.findall(plain)), 8)}", []
+    lower = _WORD.findall(plain.lower())
+    ended = bare.rstrip("\"'”»)] ").endswith((".", "!", "?", ";", "…"))
+    if len(lower) > 9 and not ended:
+        return f"R{min(len(lower) // 10, 9)}", lower
+    if len(lower) >= 4 and ended:
+        return f"S{min(len(lower) // 3, 8)}", lower
     if _FIELD.search(bare):
         return "F", []
-    return f"K{min(len(words), 9)}{'c' if caps == len(words) else 'm' if caps else ''}{'p' if priced else ''}{'n' if plain.strip() != bare.strip() else ''}", [w.lower() for w in words]
+    caps = sum(w[0].isupper() for w in _WORD.findall(plain))
+    return f"K{min(len(lower), 9)}{'c' if caps == len(lower) else 'm' if caps else ''}{'p' if priced else ''}{'n' if plain is not bare and plain.strip() != bare.strip() else ''}", lower
 
 
 def judge(text: str | None) -> dict[str, float]:
@@ -106,30 +129,29 @@ def judge(text: str | None) -> dict[str, float]:
     total = sum(len(w) or s[0] == "L" for s, w in shaped)
     if not shaped or total < LEAST_WORDS:
         return zero | {"units": len(shaped)}
-    groups = Counter()
+    groups: dict[str, int] = {}
     for s, w in shaped:
-        groups[s] += len(w) or 6
+        groups[s] = groups.get(s, 0) + (len(w) or 6)
     weight = sum(groups.values())
-    lists = Counter({s: n for s, n in groups.items() if s[0] in "KL#"})
-    top_lists = lists.most_common(TOP_SHAPES)
-    share = sum(n for _, n in top_lists) / weight
+    top_lists = sorted(((s, n) for s, n in groups.items() if s[0] in "KLR#"), key=lambda x: -x[1])[:TOP_SHAPES]
+    listed = sum(n for _, n in top_lists)
+    share = listed / weight
     keep = {s for s, _ in top_lists}
     kw = [x for s, w in shaped if s in keep for x in w or ("",)]
     n_kw = len(kw)
-    links = sum(n for k, n in top_lists if k[0] in "L#") / max(1, sum(n for _, n in top_lists))
-    distinct = len(set(kw)) / n_kw**0.85 * 1.0 if n_kw else 9.0
-    sentences = [w for s, w in shaped if s[0] == "S"]
+    links = sum(n for k, n in top_lists if k[0] == "L") / max(1, listed)
+    tags = groups.get("#", 0) / weight
+    distinct = len(set(kw)) / n_kw**0.85 if n_kw else 9.0
+    sentences = [[x for x in w if len(x) > 3] for s, w in shaped if s[0] in "SR"]
     echo = top = 0.0
     if sentences:
-        hits = 0
-        for w in sentences:
-            c = Counter(x for x in w if len(x) > 3)
-            hits += any(n > 1 for n in c.values())
-        echo = hits / len(sentences)
-        c = Counter(x for w in sentences for x in w if len(x) > 3)
-        top = sum(n for _, n in c.most_common(10)) / max(1, sum(c.values()))
-    s_share = sum(n for s, n in groups.items() if s[0] == "S") / weight
-    spam = (share >= LIST_SHARE and distinct <= (DISTINCT_LINKS if links > 0.5 else DISTINCT) and n_kw >= LEAST_WORDS) or (s_share + share >= 0.8 and s_share >= 0.3 and len(sentences) >= LEAST_SENTENCES and echo >= ECHO_SHARE and top >= TOP_WORDS)
+        echo = sum(len(set(w)) < len(w) for w in sentences) / len(sentences)
+        c = Counter(chain.from_iterable(sentences))
+        top = sum(sorted(c.values(), reverse=True)[:10]) / max(1, sum(c.values()))
+    s_share = sum(n for s, n in groups.items() if s[0] in "SR") / weight
+    most = DISTINCT_ALL_LINKS if links * share > 0.95 else DISTINCT_LINKS if links + tags > 0.5 else DISTINCT
+    spam = n_kw >= LEAST_WORDS and (share >= LIST_SHARE and distinct <= most or tags >= LIST_SHARE and sum(s == "#" for s, _ in shaped) >= LEAST_WORDS)
+    spam = spam or (s_share + sum(n for s, n in top_lists if s[0] != "R") / weight >= 0.8 and s_share >= 0.3 and len(sentences) >= LEAST_SENTENCES and echo >= ECHO_SHARE and top >= TOP_WORDS)
     return {"units": len(shaped), "list_share": share, "distinct": distinct, "echo": echo, "top": top, "spam": bool(spam)}
 
 

@@ -36,3 +36,18 @@ def test_links_without_words_count():
     assert not stuffing.judge(few)["spam"]
     long = " ".join(f"The {a} board reads {b} in {c}." for a, b, c in zip(words(40), words(40, 6), words(40, 7)))
     assert not stuffing.judge(f"{long}\n{few}")["spam"]
+
+
+def test_running_keywords_and_tags():
+    keys = ["archive boxes", "paper shredder deals", "rent a copier", "label printer offer"]
+    run = " ".join(keys[(i * i + i // 3) % 4] for i in range(60))
+    wrapped = "\n".join(run[i : i + 70] for i in range(0, len(run), 70))
+    tags = " ".join(f"#{a}{b}" for a, b in zip(words(20), words(20, 6)))
+    assert all(stuffing.judge(p)["spam"] for p in (run, wrapped, tags))
+    unmarked = " ".join(words(200, 5))  # no mark, but no repetition either
+    assert not stuffing.judge(unmarked)["spam"]
+
+
+def test_separators_are_counted_as_the_pattern_finds_them():
+    for t in ("a, b/c |d - e – f·g;h*i»", "-a - b -c", ", – ; a", "", " - - "):
+        assert stuffing._separators(t) == len(stuffing._INLINE.findall(t)), t
