@@ -2,11 +2,12 @@
 
 A model of character trigrams and words per language is fitted on a bounded
 sample of labelled rows, wrong labels being weeded out by the model's own first
-version.  A text is then a mixture: expectation-maximisation estimates the
-proportions of the languages from the words' likelihoods; the set of languages
-is chosen by penalised likelihood, and a passage boundary costs as much as its
-evidence must outweigh (Viterbi over the words).  Texts whose every window of
-eight words prefers one language take the short way to the same result.
+version.  Every text is then a mixture: expectation-maximisation over all
+languages, for a batch of texts at once, estimates the proportions from the
+words' likelihoods.  Languages with a proportion worth a few words are added to
+the likeliest one as long as the penalised likelihood of the mixture grows; a
+passage boundary costs as much as its evidence must outweigh (Viterbi over the
+words within the chosen set).
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SAMPLE_ROWS = 1000
 LEAST_WORDS = 8
 #: Log likelihood that a second language must win over LEAST_WORDS words, and the cost of changing the language.
 GAIN, SWITCH = 9.0, 7.0
+#: Rounds of expectation-maximisation; the proportion, in passages of LEAST_WORDS words, from which a language is tried; texts a round is run over at once.
+ROUNDS, LEAST_PROPORTION, TOGETHER = 12, 0.4, 1_000
 LANGUAGES = tuple(sorted(set(LANGUAGE_NAMES.values())))
 _RUN = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"\d|://|^[A-Z]{6,}$|^\W*[A-Z0-9-]{2,}\W*$")
@@ -125,36 +128,52 @@ class LanguageModel:
         return self.languages[int(m.sum(0).argmax())] if len(m) else None
 
 
-def mixture(m: np.ndarray, langs: list[int], rounds: int = 12) -> tuple[np.ndarray, float]:
-    """(proportions, log likelihood) of words ``m`` under the languages, by expectation-maximisation."""
-    p = np.exp(m[:, langs])
-    pi = np.full(len(langs), 1.0 / len(langs))
+def proportions(ms: list[np.ndarray], rounds: int = ROUNDS) -> list[np.ndarray]:
+    """For each text's words the proportions of all languages, by expectation-maximisation over the texts at once."""
+    sizes = np.array([len(m) for m in ms])
+    if not sizes.sum():
+        return [np.full(m.shape[1], 1.0 / m.shape[1]) for m in ms]
+    some = np.flatnonzero(sizes)
+    p = np.exp(np.concatenate([ms[i] for i in some]))
+    of = np.repeat(np.arange(len(some)), sizes[some])
+    starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+    pi = np.full((len(some), p.shape[1]), 1.0 / p.shape[1])
     for _ in range(rounds):
-        joint = p * pi + 1e-300
-        pi = (joint / joint.sum(1, keepdims=True)).mean(0)
-    return pi, float(np.log((p * pi).sum(1) + 1e-300).sum())
+        joint = p * pi[of]
+        joint /= joint.sum(1, keepdims=True) + 1e-300
+        pi = np.add.reduceat(joint, starts, 0) / sizes[some][:, None]
+    out = [np.full(p.shape[1], 1.0 / p.shape[1])] * len(ms)
+    for i, x in zip(some, pi):
+        out[i] = x
+    return out
 
 
-def passages(m: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(language, first word, end word, confidence) of the words' log likelihoods."""
+def mixture(m: np.ndarray, langs: list[int], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(proportions, log likelihood) of words ``m`` under the languages."""
+    pi = proportions([m[:, langs]], rounds)[0]
+    return pi, float(np.log((np.exp(m[:, langs]) * pi).sum(1) + 1e-300).sum())
+
+
+def passages(m: np.ndarray, pi: np.ndarray | None = None) -> list[tuple[int, int, int, float, float]]:
+    """(language, first word, end word, confidence, proportion of the language in the text) of the words' log likelihoods; pi: the text's proportions of all languages."""
     n = len(m)
     if not n:
         return []
+    pi = proportions([m])[0] if pi is None else pi
     total = m.sum(0)
     first = int(total.argmax())
-    sums = np.zeros((n + 1, m.shape[1]))
-    np.cumsum(m - m[:, first : first + 1], 0, out=sums[1:])
-    width = min(LEAST_WORDS, n)
-    gains = (sums[width:] - sums[:-width]).max(0)
-    others = [k for k in np.argsort(-gains) if k != first and gains[k] > GAIN] if gains.max() > GAIN else []
-    if not others or n < 2 * LEAST_WORDS:
-        return [(first, 0, n, _confidence(total, first))]
-    # forward selection by penalised likelihood
-    langs, (_, ll) = [first], mixture(m, [first])
-    for k in others:
-        _, more = mixture(m, [*langs, k])
-        if more - ll > GAIN / 2 + math.log(n):
-            langs, ll = [*langs, k], more
+    others = [k for k in np.argsort(-pi, kind="stable") if k != first and pi[k] * n > LEAST_PROPORTION * LEAST_WORDS] if n >= 2 * LEAST_WORDS else []
+    langs = [first]
+    if others:
+        # forward selection by penalised likelihood
+        _, ll = mixture(m, langs)
+        for k in others:
+            _, more = mixture(m, [*langs, int(k)])
+            if more - ll > GAIN / 2 + math.log(n):
+                langs, ll = [*langs, int(k)], more
+    if len(langs) == 1:
+        return [(first, 0, n, _confidence(total, first), 1.0)]
+    shares = dict(zip(langs, mixture(m, langs)[0]))
     # Viterbi over the words within the chosen set
     c = m[:, langs]
     score, back = c[0].copy(), np.zeros((n, len(langs)), np.int64)
@@ -182,7 +201,7 @@ def passages(m: np.ndarray) -> list[tuple[int, int, int, float]]:
             merged[-1] = [s[0], merged[-1][1], s[2]]
         else:
             merged.append(s)
-    return [(k, a, b, _confidence(m[a:b].sum(0), k)) for k, a, b in merged]
+    return [(k, a, b, _confidence(m[a:b].sum(0), k), float(shares[k])) for k, a, b in merged]
 
 
 def _confidence(total: np.ndarray, k: int) -> float:
@@ -191,52 +210,56 @@ def _confidence(total: np.ndarray, k: int) -> float:
     return float(e[k] / e.sum())
 
 
-def train(chunks: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
+def train(chunks: DataFrame, rows: int = SAMPLE_ROWS, names: dict[str, str] | None = None) -> LanguageModel:
     """Fitted on at most ``rows`` labelled rows a language; the window's limit is applied before its shuffle."""
     w = Window.partitionBy("lang").orderBy(F.xxhash64("row_id"), "row_id")
     sample = (
-        chunks.select("row_id", "text", language_code(F.col("metadata.language")).alias("lang"))
+        chunks.select("row_id", "text", language_code(F.col("metadata.language"), names).alias("lang"))
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
         .withColumn("n", F.row_number().over(w))
         .where(F.col("n") <= rows)
         .select("text", "lang")
         .collect()
     )
-    return LanguageModel([(gate.plain(r.text), r.lang) for r in sample])
+    return LanguageModel([(gate.plain(r.text), r.lang) for r in sample], tuple(sorted(set((names or LANGUAGE_NAMES).values()))))
+
 
+def segments(chunks: DataFrame, model: LanguageModel | None = None, extra: dict[str, Column] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """(row_id, ..., n_words, passages): passages is an array of (lang, first_word, end_word, confidence, proportion), in order.
 
-def segments(chunks: DataFrame, model: LanguageModel | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
-    """(row_id, ..., n_words, passages): passages is an array of (lang, first_word, end_word, confidence), in order.
+    ``names``: the languages' codes by every spelling (:func:`token_budget.language_names`).
 
     Words are those with a letter.  Null texts and texts without such words have
     no passages.  Damaged text is repaired first, so it has the language it was written in.
     """
-    model = model or train(chunks)
+    model = model or train(chunks, names=names)
     extra = extra or {}
     shared = chunks.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_ROWS rows a language
     src = chunks.select("row_id", *(c.alias(n) for n, c in extra.items()), F.col("text").alias("_t"))
     keep = ["row_id", *extra]
-    passage = "array<struct<lang:string,first_word:int,end_word:int,confidence:double>>"
+    passage = "array<struct<lang:string,first_word:int,end_word:int,confidence:double,proportion:double>>"
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.select(*keep).schema) + f", n_words int, passages {passage}"
-    names = [*keep, "n_words", "passages"]
-    kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("confidence", pa.float64())]))
+    columns = [*keep, "n_words", "passages"]
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("confidence", pa.float64()), ("proportion", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = shared.value
-        for b in batches:
-            counts, found = [], []
-            for t in b.column(len(keep)).to_pylist():
-                n, m = lm.words(gate.plain(t) if t else "")
-                counts.append(n)
-                found.append([{"lang": lm.languages[k], "first_word": a, "end_word": e, "confidence": c} for k, a, e, c in passages(m)])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(counts, pa.int32()), pa.array(found, kind)], names=names)
+        for whole in batches:
+            for at in range(0, max(1, whole.num_rows), TOGETHER):
+                b = whole.slice(at, TOGETHER)
+                read = [lm.words(gate.plain(t) if t else "") for t in b.column(len(keep)).to_pylist()]
+                found = [
+                    [{"lang": lm.languages[k], "first_word": a, "end_word": e, "confidence": c, "proportion": s} for k, a, e, c, s in passages(m, pi)]
+                    for (_, m), pi in zip(read, proportions([m for _, m in read]))
+                ]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([n for n, _ in read], pa.int32()), pa.array(found, kind)], names=columns)
 
     return src.mapInArrow(run, out)
 
 
-def wrong_or_mixed(chunks: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+def wrong_or_mixed(chunks: DataFrame, model: LanguageModel | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """(row_id, lang): a line per language of the texts of LEAST_WORDS words or more whose label is missing, wrong, or hides a mixture."""
-    s = segments(chunks, model, {"label": language_code(F.col("metadata.language"))})
+    s = segments(chunks, model, {"label": language_code(F.col("metadata.language"), names)}, names)
     langs = F.array_distinct(F.col("passages.lang"))
     return (
         s.where(F.col("n_words") >= LEAST_WORDS)

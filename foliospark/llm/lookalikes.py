@@ -1,10 +1,13 @@
 """Problem 6 on DataFrames: one consistent form for texts that look alike.
 
-A worker maps the values whose characters are suspicious (:mod:`gate`).  Distinct
-mapped values are grouped in SQL under an accent-sensitive Unicode collation,
-which also holds canonically equivalent spellings equal; the smallest mapped form
-of a class is its canonical member and is joined back on the value.  Values
-without stand-ins are their own mapped form and take no part in the shuffle.
+A worker maps the values whose characters are suspicious (:mod:`gate`); an
+ordinary value is its own mapped form.  All values fall into classes in SQL by
+their mapped form under an accent-sensitive Unicode collation, which also holds
+canonically equivalent spellings equal.  A class's canonical member is the
+spelling most of its ordinary values have, or where it has none the most frequent
+mapped form (ties: the smallest); it is joined back.  Ordinary values in no class
+with a flagged one change nothing, so only their collation hashes meet the
+classes and their texts stay where they are.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import gate, lookalike_chars
-from .common import spool
+from .common import fields, spool
 from .encoding_repair import FIELDS, read_fields
 
 
@@ -39,16 +42,32 @@ def mapped_fields(df: DataFrame, key: str = "row_id") -> DataFrame:
     return src.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, field string, value string, mapped string")
 
 
+def class_members(df: DataFrame, flagged: DataFrame, key: str = "row_id") -> DataFrame:
+    """(class, member, ordinary, n): the spellings of each class with a flagged value and how often each occurs; class is a hash of the collation key."""
+    return df.sparkSession.sql(
+        f"""
+        WITH met AS (SELECT DISTINCT xxhash64(mapped COLLATE UNICODE) AS class FROM {{flagged}}),
+             same AS (SELECT xxhash64(v.value COLLATE UNICODE) AS class, v.{key}, v.field, v.value FROM {{values}} v),
+             plain AS (SELECT s.class, s.value FROM same s LEFT SEMI JOIN met ON s.class = met.class LEFT ANTI JOIN {{flagged}} f ON s.{key} = f.{key} AND s.field = f.field)
+        SELECT class, value AS member, true AS ordinary, count(*) AS n FROM plain GROUP BY class, value
+        UNION ALL
+        SELECT xxhash64(mapped COLLATE UNICODE), mapped, false, count(*) FROM {{flagged}} GROUP BY mapped
+        """,
+        flagged=flagged,
+        values=fields(df, key),
+    )
+
+
 def unify(df: DataFrame, key: str = "row_id") -> DataFrame:
     """(key, field, value, canonical) of the fields that hold stand-ins."""
-    flagged = spool(mapped_fields(df, key))  # read twice below
+    flagged = spool(mapped_fields(df, key))
     return df.sparkSession.sql(
         """
-        WITH members AS (SELECT DISTINCT mapped FROM {flagged}),
-             classes AS (SELECT mapped COLLATE UNICODE AS form, min(mapped) AS canonical FROM members GROUP BY mapped COLLATE UNICODE)
+        WITH classes AS (SELECT member COLLATE UNICODE AS form, min_by(member, struct(NOT ordinary, -n, member)) AS canonical FROM {members} GROUP BY member COLLATE UNICODE)
         SELECT f.*, c.canonical
         FROM {flagged} f JOIN classes c ON f.mapped COLLATE UNICODE = c.form
         WHERE f.value <> c.canonical
         """,
         flagged=flagged,
+        members=spool(class_members(df, flagged, key)),
     ).drop("mapped")

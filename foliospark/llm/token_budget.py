@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import tokenizer_path, word_count
+from .common import tokenizer_path
 
 SPACE = "▁"
 CACHE_ENTRIES = 500_000
@@ -146,11 +146,16 @@ def unigram_from_file(path: str) -> UnigramCounter:
     return UnigramCounter([(sp.id_to_piece(i), -math.log(2 - s) if ranked else s) for i, s in zip(ids, scores)])
 
 
-def language_code(label: Column, codes: DataFrame | None = None) -> Column:
+def language_names(codes: DataFrame) -> dict[str, str]:
+    """The two-letter code by every lower-case code and name of lang_codes, a fixed table of one row a language."""
+    return {v.lower(): r.lang for r in codes.select("lang", "code_t", "code_b", "name_en", "name_own").collect() for v in r if v}
+
+
+def language_code(label: Column, names: dict[str, str] | None = None) -> Column:
     """Two-letter code of a label in one of the usual spellings (es-ES, spa, Spanish, español); null where it names no language."""
-    names = F.create_map(*[F.lit(x) for pair in LANGUAGE_NAMES.items() for x in pair])
+    of = F.create_map(*[F.lit(x) for pair in (names or LANGUAGE_NAMES).items() for x in pair])
     low = F.lower(F.trim(label))
-    return F.coalesce(names[low], names[F.regexp_extract(low, r"^([a-z]{2,3})[-_]", 1)])
+    return F.coalesce(of[low], of[F.regexp_extract(low, r"^([a-z]{2,3})[-_]", 1)])
 
 
 # Codes and names of the eight languages (table lang_codes).
@@ -166,11 +171,11 @@ LANGUAGE_NAMES = {
 }
 
 
-def count_chunks(chunks: DataFrame, bpe_path: str | None = None, unigram_path: str | None = None) -> DataFrame:
+def count_chunks(chunks: DataFrame, bpe_path: str | None = None, unigram_path: str | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """Per row: n_words (default counter), n_bpe, n_unigram; 0 for null texts.  No text leaves the stage."""
     bpe_path, unigram_path = bpe_path or tokenizer_path("byte_bpe_50k.tiktoken"), unigram_path or tokenizer_path("piece_bpe_32k.model")
     kept = chunks.select(
-        "row_id", "id", "ingested_at", F.col("metadata.document_name").alias("document_name"), language_code(F.col("metadata.language")).alias("language"),
+        "row_id", "id", "ingested_at", F.col("metadata.document_name").alias("document_name"), language_code(F.col("metadata.language"), names).alias("language"),
         F.nullif(F.upper(F.trim("metadata.country")), F.lit("")).alias("country"), F.col("metadata.token_estimate").alias("token_estimate"), "text",
     )
     out = kept.drop("text").schema.add("n_words", "long").add("n_bpe", "long").add("n_unigram", "long")
@@ -189,14 +194,14 @@ def count_chunks(chunks: DataFrame, bpe_path: str | None = None, unigram_path: s
     return kept.mapInArrow(run, out)
 
 
-def budget(chunks: DataFrame, **paths: str) -> DataFrame:
-    """Totals by document_name, language and country, each chunk id once (its last delivery; ties: the higher row_id).
+def budget(chunks: DataFrame, names: dict[str, str] | None = None, **paths: str) -> DataFrame:
+    """Totals by document_name, language and country, each chunk id once (its last delivery; ties: the higher row_id); a row without id is a chunk of its own.
 
     Null slices stay as null; wrong_estimates counts chunks whose stored estimate is null or isn't the number of words.
     """
     last = (
-        count_chunks(chunks, **paths)
-        .groupBy("id")
+        count_chunks(chunks, names=names, **paths)
+        .groupBy(F.coalesce("id", F.concat(F.lit("\x00"), F.col("row_id").cast("string"))))
         .agg(F.max_by(F.struct("document_name", "language", "country", "token_estimate", "n_words", "n_bpe", "n_unigram"), F.struct("ingested_at", "row_id")).alias("c"), F.count("*").alias("n"))
         .select("c.*", "n")
     )
@@ -207,5 +212,5 @@ def budget(chunks: DataFrame, **paths: str) -> DataFrame:
 
 
 def wrong_estimates(chunks: DataFrame) -> DataFrame:
-    """(row_id): rows whose token_estimate is null or isn't the number of segments of text (0 for null)."""
-    return chunks.where(~F.col("metadata.token_estimate").eqNullSafe(word_count(F.col("text")))).select("row_id")
+    """(row_id): rows whose token_estimate is null or isn't the number of words that the operator counts (0 for null)."""
+    return count_chunks(chunks).where(~F.col("token_estimate").eqNullSafe(F.col("n_words"))).select("row_id")
