@@ -8,6 +8,13 @@ probability times interpolated pair and word likelihood.  Words broken at a line
 end are joined where the corpus knows the joined word; compounds and identifiers
 broken at their own hyphen stay.  Page numbers and running heads go, and lines
 are joined to paragraphs.
+
+No count goes to the driver and none is left out: frequent words are turned into
+what they may be read as, which an exact join with the counts narrows to the
+doubtful words; a filter of fixed size (:mod:`sieve`) tells the workers which
+texts hold one or a word broken at a line end, and just the counts those texts
+ask for are joined to them.  How often each confusion occurs is estimated from
+the doubtful words.
 """
 
 from __future__ import annotations
@@ -16,7 +23,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +30,8 @@ from pyspark.sql import functions as F
 
 from . import gate
 from .common import spool
+from .sieve import Sieve, sieve
 
-#: Bounds of the model that is sent to the workers: the most frequent words and word pairs.
-MOST_WORDS, MOST_PAIRS = 150_000, 200_000
-#: A pair is sent from this count on, and kept in a worker's partial counts whatever its count.
-LEAST_PAIR = 3
 #: Flush of a worker's partial counts.
 FLUSH = 300_000
 # What a scanner reads for what (true, read, log probability).
@@ -40,7 +43,15 @@ CONFUSIONS = (
 #: Confusions that look like ordinary variants of a word (inflection, lost accents) ask for more.
 WEAK = {("l", "i"), ("и", "н"), ("п", "л"), ("ш", "щ"), ("ä", "a"), ("ö", "o"), ("v", "y"), ("n", "ri"), ("h", "b"), ("t", "f"), ("é", "c")}
 LOG_CONFUSION, LOG_WEAK, LOG_SAME = math.log(1 / 60), math.log(1 / 300), math.log(0.97)
+_COSTS = tuple((pair, LOG_WEAK if pair in WEAK else LOG_CONFUSION) for pair in CONFUSIONS)
+_NEVER = (-1e9, ())
 LEAST_COUNT = 4
+#: Counts of words and of pairs from which they say anything: what is seen less often is as likely damage.
+SEEN_WORD, SEEN_PAIR = 2, 3
+#: How far a confusion's estimated rate may move its channel probability (log).
+MOST_SHIFT = 1.0
+#: Distinct words a worker remembers its answers for.
+REMEMBERED = 300_000
 
 _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"\S+")
@@ -78,54 +89,60 @@ def count_words(chunks: DataFrame) -> DataFrame:
     return chunks.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def _readings(w: str, turn: int = 0) -> dict[str, tuple[float, tuple[int, ...]]]:
+    """{word: (channel log probability, confusions)} one confusion away, for longer words two: true words of a read one, or with turn 1 what a true word is read as."""
+    out: dict[str, tuple[float, tuple[int, ...]]] = {}
+    level: dict[str, tuple[float, tuple[int, ...]]] = {w: (0.0, ())}
+    for _ in range(2 if len(w) > 5 else 1):
+        found: dict[str, tuple[float, tuple[int, ...]]] = {}
+        for s, (log, used) in level.items():
+            for k, (pair, cost) in enumerate(_COSTS):
+                new, old = pair[turn], pair[1 - turn]
+                at = s.find(old)
+                while at >= 0:
+                    c, p = s[:at] + new + s[at + len(old) :], log + cost
+                    if p > found.get(c, _NEVER)[0]:
+                        found[c] = (p, (*used, k))
+                    at = s.find(old, at + 1)
+        for c, x in found.items():
+            if c != w and x[0] > out.get(c, _NEVER)[0]:
+                out[c] = x
+        level = found
+    return out
+
+
+def _explains(m: float, p: float, n: float, c: str) -> bool:
+    """Whether a true word c of count m explains all n occurrences of what it is read as with room to spare; a word seen once is no evidence for itself."""
+    return m >= LEAST_COUNT and m * math.exp(p) > (2.0 * n if n >= SEEN_WORD else 0.0) + (0.0 if len(c) > 3 else 2.0)
+
+
 class ScanModel:
-    """Counts, and the candidates of words; bounded by MOST_WORDS and MOST_PAIRS."""
+    """Counts of words and pairs, all of them or those a text asks for, and the candidates of words; shifts: what the estimated rate adds to a confusion's log probability."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int]):
-        self.words, self.pairs = words, pairs
-        self.total = sum(words.values()) + 1
-        self.candidates = lru_cache(200_000)(self._candidates)
-        self.plain = {w for w, n in words.items() if n >= 50 and w.isalpha() and not self._candidates(w)}
-        self.clean = set(self.plain)
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], total: int | None = None, shifts: dict[int, float] | None = None):
+        self.words, self.pairs, self.shifts = words, pairs, shifts or {}
+        self.total = (sum(words.values()) if total is None else total) + 1
+        self._known: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.plain = {w for w, n in words.items() if n >= 50 and w.isalpha() and not self.candidates(w)}
 
-    def __reduce__(self):
-        return (ScanModel, (self.words, self.pairs))
+    def candidates(self, w: str) -> tuple[tuple[str, float], ...]:
+        """Likelier true words for a read one, with their channel log probability."""
+        if w not in self._known:
+            self._known[w] = self._candidates(w)
+        return self._known[w]
 
     def _candidates(self, w: str) -> tuple[tuple[str, float], ...]:
-        """Likelier true words for a read one, with their channel log probability."""
-        n = self.words.get(w, 0)
+        n, get = self.words.get(w, 0), self.words.get
         out: dict[str, float] = {}
-
-        def add(s: str, log: float, depth: int) -> None:
-            for true, read in CONFUSIONS:
-                at = s.find(read)
-                while at >= 0:
-                    c = s[:at] + true + s[at + len(read) :]
-                    p = log + (LOG_WEAK if (true, read) in WEAK else LOG_CONFUSION)
-                    m = self.words.get(c, 0)
-                    # one that explains all of w's occurrences with room to spare
-                    if m >= LEAST_COUNT and m * math.exp(p) > 2.0 * n + (0.0 if len(c) > 3 else 2.0) and (c.isalpha() or not any(x.isalpha() for x in w)) and p > out.get(c, -1e9):
-                        out[c] = p
-                    if depth:
-                        add(c, p, depth - 1)
-                    at = s.find(read, at + 1)
-
         if 2 <= len(w) <= 40 and any(x.isalpha() for x in w):
-            add(w, 0.0, 1 if len(w) > 5 else 0)
-            if not out and len(w) > 8 and n == 0:
-                add(w, 0.0, 2)
+            for c, (p, used) in _readings(w).items():
+                if _explains(get(c, 0), p, n, c) and c.isalpha():
+                    out[c] = p + sum(self.shifts.get(k, 0.0) for k in used)
         return tuple(sorted(out.items(), key=lambda x: -x[1])[:6])
 
     def doubtful(self, text: str) -> bool:
-        """Whether any word has a likelier reading; words without one are remembered."""
-        new = set(_WORD.findall(text.lower())) - self.clean
-        if not new:
-            return False
-        if len(self.clean) > 400_000:
-            self.clean = set(self.plain)
-        fine = {w for w in new if not self.candidates(w)}
-        self.clean |= fine
-        return len(fine) < len(new)
+        """Whether any word has a likelier reading."""
+        return any(self.candidates(w) for w in set(_WORD.findall(text.lower())) - self.plain)
 
     def lm(self, before: str, w: str) -> float:
         uni = (self.words.get(w, 0) + 0.1) / self.total
@@ -170,6 +187,86 @@ def _identifier(core: str) -> bool:
     return not letters or sum(c.isupper() for c in letters) > 1 and sum(c.isdigit() for c in core) > 0 and not (len(letters) >= 5 and sum(c.isdigit() for c in core) <= 2 and core.isalnum()) or any(c in "/-_.@:#=+%" for c in core) or sum(c.isdigit() for c in core) > max(1, len(letters) // 2)
 
 
+def _line_words(line: str) -> tuple[list[tuple[int, int]], list[str]]:
+    """Spans and lower-case words of a line that are decoded; identifiers and references aren't."""
+    spans, ws = [], []
+    for t in _TOKEN.finditer(line):
+        core = _CORE.match(t.group())
+        if core is None or _identifier(core.group(1)) or line[t.start() : t.start() + 1] in "[#":
+            continue
+        at = t.start() + core.start(1)
+        for w in _WORD.finditer(core.group(1)):
+            spans.append((at + w.start(), at + w.end()))
+            ws.append(w.group().lower())
+    return spans, ws
+
+
+class Asker:
+    """What counts a text asks for, by filters of the words that may be true ('f' and the word) and of the doubtful ones ('d')."""
+
+    def __init__(self, known: Sieve, doubtful: Sieve):
+        self.known, self.doubts = known, doubtful
+        self.doubt: dict[str, bool] = {}
+
+    def doubtful(self, w: str) -> bool:
+        d = self.doubt.get(w)
+        if d is None:
+            if len(self.doubt) > REMEMBERED:
+                self.doubt.clear()
+            d = self.doubt[w] = "d" + w in self.doubts
+        return d
+
+    def options(self, w: str) -> set[str]:
+        return {w, *(c for c in _readings(w) if "f" + c in self.known)}
+
+    def breaks(self, text: str) -> list[tuple[str, str]]:
+        """The parts of words that a line end may have cut."""
+        if "\n" not in text or not ("-" in text or "¬" in text or "‐" in text):
+            return []
+        found = [(x.group(1).lower(), x.group(3).lower()) for x in _BREAK.finditer(text)]
+        lines = text.split("\n")
+        for i, line in enumerate(lines[:-2]):
+            if x := _CUT.search(line):
+                firsts = [_FIRST.match(y) for y in lines[i + 2 : i + 5]]
+                found += [(x.group(1).lower(), y.group(1).lower()) for y in firsts if y and y.group(1)[:1].islower()]
+        return found
+
+    def __call__(self, text: str) -> list[str] | None:
+        """Words, and pairs as 'a b'; None for texts that hold nothing in doubt."""
+        if "_" in text:
+            text = _STRAY.sub("-", text)
+        cut = self.breaks(text)
+        odd = {w for w in set(_WORD.findall(text.lower())) if self.doubtful(w)}
+        if not cut and not odd:
+            return None
+        ask: set[str] = set()
+        joined = {x + y for x, y in cut}
+        for x, y in cut:
+            ask |= {x, y, f"{x} {y}", *self.options(x + y)}
+        forms = [text]
+        if cut:
+            forms.append(_BREAK.sub(lambda x: x.group(1) + x.group(3), text))
+            joined |= set(_WORD.findall(forms[1].lower())) - set(_WORD.findall(text.lower()))
+        kept: dict[str, set[str]] = {}
+
+        def options(w: str) -> set[str]:
+            if w not in kept:
+                kept[w] = self.options(w) if w in joined or self.doubtful(w) else {w}
+            return kept[w]
+
+        for form in forms:
+            for line in form.split("\n"):
+                if not any(w in odd or w in joined for w in _WORD.findall(line.lower())):
+                    continue
+                _, ws = _line_words(line)
+                for k, w in enumerate(ws):
+                    if w in odd or w in joined:
+                        before, here, after = options(ws[k - 1]) if k else set(), options(w), options(ws[k + 1]) if k + 1 < len(ws) else set()
+                        ask |= before | here | after
+                        ask |= {f"{a} {b}" for a in before for b in here} | {f"{a} {b}" for a in here for b in after}
+        return sorted(ask)
+
+
 def examine(text: str, m: ScanModel) -> tuple[int, int, str]:
     """(broken words, misread words, text with both undone)."""
     if "_" in text:
@@ -204,15 +301,7 @@ def examine(text: str, m: ScanModel) -> tuple[int, int, str]:
     for i, line in enumerate(lines):
         if all(w in plain for w in _WORD.findall(line.lower())):
             continue
-        spans, ws = [], []
-        for t in _TOKEN.finditer(line):
-            core = _CORE.match(t.group())
-            if core is None or _identifier(core.group(1)) or line[t.start() : t.start() + 1] in "[#":
-                continue
-            for w in _WORD.finditer(core.group(1)):
-                at = t.start() + core.start(1)
-                spans.append((at + w.start(), at + w.end()))
-                ws.append(w.group().lower())
+        spans, ws = _line_words(line)
         odd = [k for k, w in enumerate(ws) if w not in plain and m.candidates(w)]
         if not odd:
             continue
@@ -256,33 +345,97 @@ def paragraphs(text: str, document_name: str | None = None) -> str:
     return "\n".join(out)
 
 
-def train(chunks: DataFrame) -> ScanModel:
-    """Counts over all rows; the driver gets the MOST_WORDS and MOST_PAIRS most frequent entries (ties by the word)."""
-    counts = spool(count_words(chunks))
-    pair = F.col("w").contains(" ")
-    words = counts.where(~pair & (F.col("n") > 1)).orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()
-    pairs = counts.where(pair & (F.col("n") >= LEAST_PAIR)).orderBy(F.desc("n"), "w").limit(MOST_PAIRS).collect()
-    return ScanModel({r.w: r.n for r in words}, {r.w: r.n for r in pairs})
+def _misreadings(words: DataFrame, known: Sieve) -> DataFrame:
+    """(w, true, m, p, conf): words of the corpus that others may be read as by one or two confusions; conf is the confusion of a single one, else -1."""
+    shared = words.sparkSession.sparkContext.broadcast(known)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for b in batches:
+            rows = []
+            for c, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if c.isalpha():
+                    for w, (p, used) in _readings(c, turn=1).items():
+                        if 2 <= len(w) <= 40 and (len(used) < 2 or len(w) > 5) and _explains(m, p, 0, c) and "w" + w in seen and any(x.isalpha() for x in w):
+                            rows.append((w, c, m, p, used[0] if len(used) == 1 else -1))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int32()))], names=["w", "true", "m", "p", "conf"])
 
+    return words.where(F.col("n") >= LEAST_COUNT).select("w", "n").mapInArrow(run, "w string, true string, m long, p double, conf int")
+
+
+def doubtful_words(counts: DataFrame, known: Sieve) -> DataFrame:
+    """(w, n, true, m, conf): words that a far more frequent one explains, by exact join of its misreadings with the counts."""
+    words = counts.where(~F.col("w").contains(" "))
+    least = F.when(F.col("n") >= SEEN_WORD, 2 * F.col("n")).otherwise(0) + F.when(F.length("true") > 3, 0.0).otherwise(2.0)
+    return _misreadings(words, known).join(words, "w").where(F.col("m") * F.exp("p") > least).drop("p")
+
+
+def confusion_shifts(doubtful: DataFrame) -> dict[int, float]:
+    """For each confusion how far its rate among the doubtful words is from the middle one, as log and held to MOST_SHIFT; a row for each entry of CONFUSIONS at most."""
+    rows = doubtful.where("conf >= 0").groupBy("conf").agg((F.sum("n") / F.sum("m")).alias("rate"), F.sum("n").alias("n")).collect()
+    rates = sorted(r.rate for r in rows if r.n >= 50)
+    if not rates:
+        return {}
+    middle = rates[len(rates) // 2]
+    return {r.conf: max(-MOST_SHIFT, min(MOST_SHIFT, math.log(r.rate / middle))) for r in rows if r.n >= 50}
+
+
+def _asked(chunks: DataFrame, filters: tuple[Sieve, Sieve]) -> DataFrame:
+    """(row_id, _d, _o, _t, _ask): non-null texts as they are and plain, with the counts they ask for, null for those that hold nothing in doubt."""
+    shared = chunks.sparkSession.sparkContext.broadcast(filters)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = Asker(*shared.value)
+        for b in batches:
+            plain = [gate.plain(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(plain, pa.string()), pa.array(map(ask, plain), pa.list_(pa.string()))], names=["row_id", "_d", "_o", "_t", "_ask"])
+
+    src = chunks.where(F.col("text").isNotNull()).select("row_id", F.col("metadata.document_name").alias("_d"), F.col("text").alias("_o"))
+    return src.mapInArrow(run, f"row_id {chunks.schema['row_id'].dataType.simpleString()}, _d string, _o string, _t string, _ask array<string>")
 
-def repair_scans(chunks: DataFrame, model: ScanModel | None = None) -> DataFrame:
-    """(row_id, broken, misread, text): every non-null text, as continuous paragraphs where it carries scanning damage, else as it is."""
-    shared = chunks.sparkSession.sparkContext.broadcast(model or train(chunks))  # bounded, see ScanModel
+
+def _answered(asked: DataFrame, counts: DataFrame, total: int, shifts: dict[int, float]) -> DataFrame:
+    """(row_id, broken, misread, text) of the texts that ask for counts."""
+    told = counts.where(F.col("n") >= F.when(F.col("w").contains(" "), SEEN_PAIR).otherwise(SEEN_WORD))
+    found = asked.select("row_id", F.explode("_ask").alias("w")).distinct().join(told, "w").groupBy("row_id").agg(F.collect_list(F.struct("w", "n")).alias("_n"))  # bounded by a text's words
+    src = asked.join(found, "row_id", "left").select("row_id", "_d", "_o", "_t", "_n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
             rows = []
-            for name, t in zip(*(c.to_pylist() for c in b.columns[1:])):
-                n, k, new = examine(gate.plain(t), m)
-                rows.append((n, k, paragraphs(new, name) if n or k else t))
+            for name, t, plain, got in zip(*(c.to_pylist() for c in b.columns[1:])):
+                n = {x["w"]: x["n"] for x in got or ()}
+                m = ScanModel({w: k for w, k in n.items() if " " not in w}, {w: k for w, k in n.items() if " " in w}, total, shifts)
+                broken, misread, new = examine(plain, m)
+                rows.append((broken, misread, paragraphs(new, name) if broken or misread else t))
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["row_id", "broken", "misread", "text"])
 
-    src = chunks.where(F.col("text").isNotNull()).select("row_id", F.col("metadata.document_name").alias("_d"), F.col("text").alias("_t"))
-    return src.mapInArrow(run, f"row_id {chunks.schema['row_id'].dataType.simpleString()}, broken int, misread int, text string")
+    return src.mapInArrow(run, f"row_id {asked.schema['row_id'].dataType.simpleString()}, broken int, misread int, text string")
+
+
+def _model(chunks: DataFrame) -> tuple[DataFrame, tuple[Sieve, Sieve], int, dict[int, float]]:
+    """All counts as a table, and what is bounded: the filters, the number of words, a shift for each confusion."""
+    counts = spool(count_words(chunks))
+    words = counts.where(~F.col("w").contains(" "))
+    marks = F.when(F.col("n") >= LEAST_COUNT, F.array(F.lit("w"), F.lit("f"))).otherwise(F.array(F.lit("w")))
+    known = sieve(words.select("w", F.explode(marks).alias("_k")).select(F.concat("_k", "w").alias("k")))
+    doubtful = spool(doubtful_words(counts, known))
+    doubts = sieve(doubtful.select(F.concat(F.lit("d"), "w").alias("k")).distinct())
+    return counts, (known, doubts), words.agg(F.sum("n")).first()[0] or 0, confusion_shifts(doubtful)
+
+
+def repair_scans(chunks: DataFrame) -> DataFrame:
+    """(row_id, broken, misread, text): every non-null text, as continuous paragraphs where it carries scanning damage, else as it is."""
+    counts, filters, total, shifts = _model(chunks)
+    asked = spool(_asked(chunks, filters))
+    fine = asked.where("_ask is null").select("row_id", F.lit(0).alias("broken"), F.lit(0).alias("misread"), F.col("_o").alias("text"))
+    return fine.unionByName(_answered(asked.where("_ask is not null"), counts, total, shifts))
 
 
-def damaged_rows(chunks: DataFrame, model: ScanModel | None = None) -> DataFrame:
+def damaged_rows(chunks: DataFrame) -> DataFrame:
     """(row_id): rows with a broken or misread word."""
-    return repair_scans(chunks, model).where("broken > 0 or misread > 0").select("row_id")
+    counts, filters, total, shifts = _model(chunks)
+    asked = spool(_asked(chunks, filters).where("_ask is not null"))
+    return _answered(asked, counts, total, shifts).where("broken > 0 or misread > 0").select("row_id")
