@@ -5,19 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_AMOUNT = r"([0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2})"
-_DATE = r"([0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{2,4})"
-#: (language, field, pattern, base confidence); a field may have several.
-PATTERNS = (
-    ("es", "invoice_number", r"(?:Factura|FACTURA)\s+N[º°.o]*\s*:?\s*([A-Z0-9][A-Z0-9/-]*)", 0.9), ("es", "invoice_date", rf"(?:Fecha|FECHA):\s*{_DATE}", 0.85),
-    ("es", "net_amount", rf"Base [Ii]mponible:\s*€?\s*{_AMOUNT}", 0.85), ("es", "tax_amount", rf"IVA[^:\n]*:\s*€?\s*{_AMOUNT}", 0.85), ("es", "total_amount", rf"(?:Total|TOTAL):\s*€?\s*{_AMOUNT}", 0.9), ("es", "vat_number", r"(?:CIF|NIF):\s*([A-Z0-9]{8,12})", 0.9),
-    ("en", "invoice_number", r"(?:Invoice|INVOICE)\s+(?:no|No|number|#)\.?\s*:?\s*([A-Z0-9][A-Z0-9/-]*)", 0.9), ("en", "invoice_date", rf"(?:Date|DATE):\s*{_DATE}", 0.85),
-    ("en", "net_amount", rf"Net amount:\s*[$£€]?\s*{_AMOUNT}", 0.85), ("en", "tax_amount", rf"VAT [0-9]+%:\s*[$£€]?\s*{_AMOUNT}", 0.85), ("en", "total_amount", rf"(?:Total|TOTAL):\s*[$£€]?\s*{_AMOUNT}", 0.9), ("en", "vat_number", r"VAT number:\s*([A-Z0-9]{8,12})", 0.9),
-    ("de", "invoice_number", r"Rechnung\s+Nr\.\s*:?\s*([A-Z0-9][A-Z0-9/-]*)", 0.9), ("de", "invoice_date", rf"Datum:\s*{_DATE}", 0.85),
-    ("de", "net_amount", rf"Nettobetrag:\s*€?\s*{_AMOUNT}", 0.85), ("de", "tax_amount", rf"MwSt\.[^:\n]*:\s*€?\s*{_AMOUNT}", 0.85), ("de", "total_amount", rf"Gesamtbetrag:\s*€?\s*{_AMOUNT}", 0.9), ("de", "vat_number", r"USt-IdNr\.:\s*([A-Z0-9]{8,12})", 0.9),
-    ("it", "invoice_number", r"Fattura\s+n\.\s*:?\s*([A-Z0-9][A-Z0-9/-]*)", 0.9), ("it", "invoice_date", rf"Data:\s*{_DATE}", 0.85),
-    ("it", "net_amount", rf"Imponibile:\s*€?\s*{_AMOUNT}", 0.85), ("it", "tax_amount", rf"IVA[^:\n]*:\s*€?\s*{_AMOUNT}", 0.85), ("it", "total_amount", rf"Totale:\s*€?\s*{_AMOUNT}", 0.9), ("it", "vat_number", r"Partita IVA:\s*([A-Z0-9]{8,12})", 0.9),
-)
+from .invoice_patterns import NEAR, NEAR_BONUS, PATTERNS
 
 
 def amount_value(text: Column, comma_decimal: Column) -> Column:
@@ -27,53 +15,83 @@ def amount_value(text: Column, comma_decimal: Column) -> Column:
 
 
 def amount_score(text: Column) -> Column:
-    """Commas go, then: unreadable -0.50, negative -0.30, zero -0.20, two decimals +0.20, else +0.10.  European notation is read this way too."""
-    plain = F.replace(F.regexp_replace(text, r"[€$£\s]", ""), F.lit(","), F.lit(""))
-    v = F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), plain.try_cast("double"))
+    """Commas go, then: unreadable (also with a currency or two points) -0.50, negative -0.30, zero -0.20, two decimals +0.20, else +0.10."""
+    plain = F.replace(text, F.lit(","), F.lit(""))
+    v = F.when(plain.rlike(r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), plain.try_cast("double"))
     return F.when(v.isNull(), -0.50).when(v < 0, -0.30).when(v == 0, -0.20).when(plain.rlike(r"\.[0-9]{2}$"), 0.20).otherwise(0.10)
 
 
 def date_score(text: Column) -> Column:
-    """+0.20 for a date, +0.10 for a day the month does not have, -0.50 otherwise; day before month, two-digit years are of this century."""
-    iso, dm = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})$", r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})$"
+    """+0.20 for a date, +0.10 for a day the month does not have, -0.50 otherwise.
+
+    Year-month-day with dashes and two digits, or day and month with slashes or
+    dashes: day first where that is possible, else month first; years under 100 are of this century.
+    """
+    iso, dm = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$", r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{2,4})$"
     part = lambda p, i: F.regexp_extract(text, p, i).try_cast("int")
-    y, m, d = (F.when(text.rlike(iso), part(iso, i)).when(text.rlike(dm), part(dm, 4 - i)) for i in (1, 2, 3))
-    year = F.when(y < 100, y + 2000).otherwise(y)
-    last = F.when(m.isin(4, 6, 9, 11), 30).when((m == 2) & (((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)), 29).when(m == 2, 28).otherwise(31)
-    ok = year.between(1900, 2100) & m.between(1, 12) & d.between(1, 31)
+    a, b = part(dm, 1), part(dm, 2)
+    day_first = a.between(1, 31) & b.between(1, 12)
+    y = F.when(text.rlike(iso), part(iso, 1)).when(text.rlike(dm), F.when(part(dm, 3) < 100, part(dm, 3) + 2000).otherwise(part(dm, 3)))
+    m = F.when(text.rlike(iso), part(iso, 2)).when(day_first, b).otherwise(a)
+    d = F.when(text.rlike(iso), part(iso, 3)).when(day_first, a).otherwise(b)
+    last = F.when(m.isin(4, 6, 9, 11), 30).when((m == 2) & (((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)), 29).when(m == 2, 28).otherwise(31)
+    ok = y.between(1900, 2100) & m.between(1, 12) & d.between(1, 31)
     return F.when(~F.coalesce(ok, F.lit(False)), -0.50).when(d > last, 0.10).otherwise(0.20)
 
 
 def number_score(text: Column) -> Column:
-    letters, digits, sep = text.rlike("[A-Za-z]"), text.rlike("[0-9]"), text.rlike("[-/]")
-    return F.when(F.length(text) < 2, -0.30).when(letters & digits & sep, 0.10).when(letters & digits, 0.08).when(text.rlike("^[0-9]+$"), 0.05).otherwise(0.0)
+    """Letters and a separator +0.10, letters +0.08, digits only +0.05, under two bytes -0.30, else 0."""
+    letters, sep = text.rlike(r"[\p{L}\p{Nl}]"), text.rlike("[-/_]")
+    return F.when(F.octet_length(text) < 2, -0.30).when(letters & sep, 0.10).when(letters, 0.08).when(text.rlike("^[0-9]+$"), 0.05).otherwise(0.0)
 
 
 def vat_score(text: Column) -> Column:
-    return F.when(text == "", -0.20).when(text.rlike(r"^(?:GB[0-9]{9,12}|ES[A-Z0-9]{9}|[A-Z][0-9]{8}|[A-Z][0-9]{7}[A-Z]|[0-9]{8}[A-Z]|IT[0-9]{11}|[0-9]{11}|DE[0-9]{9})$"), 0.15).when(text.rlike("^(?:[^0-9]*[0-9]){8,}"), 0.05).otherwise(0.0)
+    """+0.15 for the British, Spanish, Italian and German forms, +0.05 for eight digits or more, -0.20 for nothing, else 0."""
+    known = r"^(?:GB[0-9]{9,}|\p{L}[0-9]{8}.*|IT[0-9]{11}|DE[0-9]{9})$"
+    return F.when(text == "", -0.20).when(text.rlike(known), 0.15).when(text.rlike("^[0-9]{8,}$"), 0.05).otherwise(0.0)
 
 
 def field_score(field: Column, value: Column) -> Column:
     return (
-        F.when(field == "invoice_date", date_score(value)).when(field.isin("net_amount", "tax_amount", "total_amount"), amount_score(value))
+        F.when(field.isin("invoice_date", "due_date"), date_score(value)).when(field.isin("net_amount", "tax_amount", "total_amount"), amount_score(value))
         .when(field == "invoice_number", number_score(value)).when(field == "vat_number", vat_score(value)).otherwise(F.lit(0.0))
     )
 
 
+def near_bonus(field: Column, value: Column, text: Column) -> Column:
+    """What the first of the field's words nearest to the value's first place adds; distances are in bytes."""
+
+    def at(part: Column, of: Column) -> Column:
+        place = F.position(part, of)
+        return F.when(place > 0, F.octet_length(F.left(of, place - 1)))
+
+    low = F.lower(text)
+    nearest = None
+    for name, words in NEAR.items():
+        distance = F.least(*[F.coalesce(F.abs(at(F.lit(w), low) - at(value, text)), F.lit(1 << 30)) for w in words])
+        nearest = F.when(field == name, distance) if nearest is None else nearest.when(field == name, distance)
+    bonus = F
+    for most, add in NEAR_BONUS:
+        bonus = bonus.when(nearest <= most, add)
+    return bonus.otherwise(0.0)
+
+
 def invoice_fields(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", threshold: float = 0.7) -> DataFrame:
-    """(key, field, value_str, value_num, confidence): first match of each pattern of the document's language, scored, from the threshold on.
+    """(key, field, value_str, value_num, confidence): the first match of each pattern of the document's language, from the threshold on.
 
-    The patterns are an array literal, so each document is read once and nothing is joined.
+    A match's confidence is the pattern's, with what its value and the nearest word
+    of its kind add, between 0 and 1.  The patterns are an array literal, so each
+    document is read once and nothing is joined.  Null texts have no fields.
     """
     low = F.lower(F.substring(F.coalesce(F.col(lang), F.lit("es")), 1, 2))
     hits = [
-        F.when((low == la) & F.col(text).rlike(p), F.struct(F.lit(f).alias("field"), F.regexp_extract(text, p, 1).alias("value_str"), F.lit(base).alias("base")))
+        F.when((low == la) & F.col(text).rlike(f"(?d){p}"), F.struct(F.lit(f).alias("field"), F.regexp_extract(text, f"(?d){p}", 1).alias("value_str"), F.lit(base).alias("base")))
         for la, f, p, base in PATTERNS
     ]
-    found = docs.where(F.col(text).isNotNull()).select(key, low.alias("_l"), F.explode(F.array_compact(F.array(*hits))).alias("m")).select(key, "_l", "m.*")
-    score = F.least(F.greatest(F.col("base") + field_score(F.col("field"), F.col("value_str")), F.lit(0.0)), F.lit(1.0))
+    found = docs.where(F.col(text).isNotNull()).select(key, text, low.alias("_l"), F.explode(F.array_compact(F.array(*hits))).alias("m")).select(key, text, "_l", "m.*")
+    score = F.col("base") + field_score(F.col("field"), F.col("value_str")) + near_bonus(F.col("field"), F.col("value_str"), F.col(text))
     money = F.col("field").isin("net_amount", "tax_amount", "total_amount")
-    return found.withColumn("confidence", score).where(F.col("confidence") >= threshold).select(
+    return found.withColumn("confidence", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).where(F.col("confidence") >= threshold).select(
         key, "field", "value_str", F.when(money, amount_value(F.col("value_str"), F.col("_l") != "en")).alias("value_num"), "confidence"
     )
 
@@ -89,11 +107,26 @@ def tab_pairs(text: Column) -> Column:
     return F.transform(rows, lambda s: F.struct(F.split(s, "\t")[0].alias("key"), F.split(s, "\t")[1].alias("value")))
 
 
-KEY_INFO = {
-    "dates": r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b",
-    "monetary_amounts": r"[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2} ?€",
-    "codes": r"\bREQ-[0-9]+\.[0-9]+\b",
-}
+_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+# Dates, and what contracts name: numbers of agreements, parties, amounts (any case).
+DATES = (
+    rf"\b\d{{1,2}}\s+{_MONTH}\s+\d{{4}}\b",
+    rf"\b{_MONTH}\s+\d{{1,2}},?\s+\d{{4}}\b",
+    r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{4}\b",
+    r"\b\d{4}[/\-]\d{1,2}[/\-]\d{1,2}\b",
+)
+ORGANIZATION = r"\b([A-Z][A-Za-z\s&,\.]+(?:LLC|Ltd|Corp|Corporation|Inc|Company|Co\.)\b)"
+MONEY = r"\$\s*[\d,]+(?:\.\d{2})?(?:\s*(?:million|thousand|M|K))?"
+CONTRACT = (r"\b(?:Agreement|Contract)\s+(?:No\.?|Number)?\s*:?\s*([A-Z0-9\-/]+)", ORGANIZATION, MONEY)
+
+#: What redaction covers by default.
+REDACTED = {"date": r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", "code": r"\bREQ-[0-9]+\.[0-9]+\b"}
+
+
+def key_info(text: Column) -> tuple[Column, Column, Column]:
+    """(dates, monetary amounts, organizations) as arrays, empty where there are none; dates pattern by pattern."""
+    every = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    return F.concat(*[every(f"(?Ui){p}") for p in DATES]), every(f"(?U){MONEY}"), every(f"(?U){ORGANIZATION}")
 
 
 def redact(text: Column, patterns: dict[str, str]) -> Column:

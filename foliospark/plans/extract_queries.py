@@ -43,28 +43,52 @@ def amount_parse(spark: SparkSession, d: str) -> DataFrame:
     return _inv(spark, d).where(F.col("field").endswith("_amount")).select("doc_id", "field", X.amount_value(v, v.rlike(",[0-9]{2}$")).alias("amount"))
 
 
-@query("invoice_scores", f"""
-WITH t AS (SELECT doc_id, field, value_str AS v, replace(value_str, ',', '') AS p, regexp_extract(value_str, '^([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}})$', ['y', 'm', 'd']) AS iso, regexp_extract(value_str, '^([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{4}})$', ['d', 'm', 'y']) AS dm FROM {_INV} WHERE value_str IS NOT NULL),
-u AS (SELECT *, TRY_CAST(CASE WHEN iso.y <> '' THEN iso.y ELSE dm.y END AS INT) AS y, TRY_CAST(CASE WHEN iso.y <> '' THEN iso.m ELSE dm.m END AS INT) AS m, TRY_CAST(CASE WHEN iso.y <> '' THEN iso.d ELSE dm.d END AS INT) AS d FROM t)
-SELECT doc_id, field, CASE field WHEN 'invoice_date' THEN CASE WHEN NOT coalesce(y BETWEEN 1900 AND 2100 AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31, false) THEN -0.5 WHEN d > day(last_day(make_date(y, m, 1))) THEN 0.1 ELSE 0.2 END
- WHEN 'invoice_number' THEN CASE WHEN length(v) < 2 THEN -0.3 WHEN regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[-/]') THEN 0.1 WHEN regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') THEN 0.08 WHEN regexp_matches(v, '^[0-9]+$') THEN 0.05 ELSE 0.0 END
- WHEN 'vat_number' THEN CASE WHEN v = '' THEN -0.2 WHEN regexp_matches(v, '^(GB[0-9]{{9,12}}|ES[A-Z0-9]{{9}}|[A-Z][0-9]{{8}}|[A-Z][0-9]{{7}}[A-Z]|[0-9]{{8}}[A-Z]|IT[0-9]{{11}}|[0-9]{{11}}|DE[0-9]{{9}})$') THEN 0.15 WHEN regexp_matches(v, '^([^0-9]*[0-9]){{8,}}') THEN 0.05 ELSE 0.0 END
- ELSE CASE WHEN NOT regexp_matches(p, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN -0.5 WHEN CAST(p AS DOUBLE) < 0 THEN -0.3 WHEN CAST(p AS DOUBLE) = 0 THEN -0.2 WHEN regexp_matches(p, '\\.[0-9]{{2}}$') THEN 0.2 ELSE 0.1 END END AS score FROM u""")
+def _score_sql(field: str, v: str) -> str:
+    """The scores of the values of a field, column v."""
+    iso, dm, p = f"'^([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}})$'", f"'^([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{2,4}})$'", f"replace({v}, ',', '')"
+    part = lambda pat, i: f"TRY_CAST(regexp_extract({v}, {pat}, {i}) AS INT)"
+    date = lambda y, m, d: (
+        f"CASE WHEN NOT coalesce(({y}) BETWEEN 1900 AND 2100 AND ({m}) BETWEEN 1 AND 12 AND ({d}) BETWEEN 1 AND 31, false) THEN -0.5 WHEN ({d}) > day(last_day(make_date({y}, {m}, 1))) THEN 0.1 ELSE 0.2 END"
+    )
+    year = f"({part(dm, 3)} + CASE WHEN {part(dm, 3)} < 100 THEN 2000 ELSE 0 END)"
+    return rf"""CASE WHEN {field} IN ('invoice_date', 'due_date') THEN CASE WHEN regexp_matches({v}, {iso}) THEN {date(part(iso, 1), part(iso, 2), part(iso, 3))}
+   WHEN {part(dm, 1)} BETWEEN 1 AND 31 AND {part(dm, 2)} BETWEEN 1 AND 12 THEN {date(year, part(dm, 2), part(dm, 1))} WHEN {part(dm, 1)} IS NOT NULL THEN {date(year, part(dm, 1), part(dm, 2))} ELSE -0.5 END
+ WHEN {field} = 'invoice_number' THEN CASE WHEN strlen({v}) < 2 THEN -0.3 WHEN NOT regexp_matches({v}, '[\p{{L}}\p{{Nl}}]') THEN CASE WHEN regexp_full_match({v}, '[0-9]+') THEN 0.05 ELSE 0.0 END WHEN regexp_matches({v}, '[-/_]') THEN 0.1 ELSE 0.08 END
+ WHEN {field} = 'vat_number' THEN CASE WHEN {v} = '' THEN -0.2 WHEN regexp_full_match({v}, 'GB[0-9]{{9,}}|\p{{L}}[0-9]{{8}}.*|IT[0-9]{{11}}|DE[0-9]{{9}}') THEN 0.15 WHEN regexp_full_match({v}, '[0-9]{{8,}}') THEN 0.05 ELSE 0.0 END
+ WHEN {field} IN ('net_amount', 'tax_amount', 'total_amount') THEN CASE WHEN NOT regexp_full_match({p}, '-?([0-9]+\.?[0-9]*|\.[0-9]+)') THEN -0.5 WHEN CAST({p} AS DOUBLE) < 0 THEN -0.3 WHEN CAST({p} AS DOUBLE) = 0 THEN -0.2 WHEN length(split_part({p}, '.', 2)) = 2 THEN 0.2 ELSE 0.1 END
+ ELSE 0.0 END"""
+
+
+@query("invoice_scores", f"SELECT doc_id, field, CAST({_score_sql('field', 'value_str')} AS DOUBLE) AS score FROM {_INV} WHERE value_str IS NOT NULL")
 def invoice_scores(spark: SparkSession, d: str) -> DataFrame:
     return _inv(spark, d).where("value_str is not null").select("doc_id", "field", X.field_score(F.col("field"), F.col("value_str")).alias("score"))
 
 
-_HITS = ",".join(f"CASE WHEN l = '{la}' AND regexp_matches(text, '{p}') THEN {{'field': '{f}', 'value_str': regexp_extract(text, '{p}', 1)}} END" for la, f, p, _ in X.PATTERNS)
+# the pattern's own text, with the white space of the other engine
+_HITS = ",".join(
+    f"CASE WHEN l = '{la}' AND regexp_matches(text, '{q}') THEN {{'field': '{f}', 'value_str': regexp_extract(text, '{q}', 1), 'base': {base}}} END"
+    for la, f, p, base in X.PATTERNS for q in [p.replace(r"[\s:]", r"[\s\x0b:]").replace(r"\s\.,", r"\s\x0b\.,").replace(r"\s+", r"[\s\x0b]+").replace(r"\s*", r"[\s\x0b]*")]
+)
+_FOUND = f"""
+WITH h AS (SELECT doc_id, text, l, unnest(list_filter([{_HITS}], lambda x: x IS NOT NULL)) AS m FROM (SELECT doc_id, text, lower(substr(coalesce(lang, 'es'), 1, 2)) AS l FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT doc_id, text, l, m.field AS field, m.value_str AS value_str, m.base AS base FROM h)"""
 
 
-@query("invoice_extract", f"""
-WITH h AS (SELECT doc_id, unnest(list_filter([{_HITS}], lambda x: x IS NOT NULL)) AS m FROM (SELECT doc_id, text, lower(substr(coalesce(lang, 'es'), 1, 2)) AS l FROM documents WHERE text IS NOT NULL))
-SELECT doc_id, m.field AS field, m.value_str AS value_str FROM h""")
+@query("invoice_extract", f"{_FOUND} SELECT doc_id, field, value_str FROM f")
 def invoice_extract(spark: SparkSession, d: str) -> DataFrame:
     return X.invoice_fields(table(spark, d, "documents"), threshold=0.0).select("doc_id", "field", "value_str")
 
 
-@query("invoice_extract_scored")
+_AT = "CASE WHEN strpos({of}, {part}) > 0 THEN strlen(left({of}, strpos({of}, {part}) - 1)) END"
+_NEAREST = " ".join(
+    f"WHEN '{name}' THEN least({', '.join('coalesce(abs(' + _AT.format(of='lower(text)', part=repr(w)) + ' - ' + _AT.format(of='text', part='value_str') + '), 1000000000)' for w in words)})" for name, words in X.NEAR.items()
+)
+
+
+@query("invoice_extract_scored", f"""{_FOUND},
+n AS (SELECT *, CASE field {_NEAREST} END AS far FROM f),
+s AS (SELECT doc_id, field, value_str, l, least(greatest(CAST(base AS DOUBLE) + CAST({_score_sql('field', 'value_str')} AS DOUBLE) + CASE WHEN far <= 20 THEN 0.15 WHEN far <= 50 THEN 0.10 WHEN far <= 100 THEN 0.05 ELSE 0.0 END, 0.0), 1.0) AS confidence FROM n)
+SELECT doc_id, field, value_str, confidence, CASE WHEN field LIKE '%_amount' THEN TRY_CAST(CASE WHEN l = 'en' THEN replace(value_str, ',', '') ELSE replace(replace(value_str, '.', ''), ',', '.') END AS DOUBLE) END AS value_num FROM s WHERE confidence >= 0.7""")
 def invoice_extract_scored(spark: SparkSession, d: str) -> DataFrame:
     return X.invoice_fields(table(spark, d, "documents"))
 
@@ -88,22 +112,22 @@ def kv_elements(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "elements").where("elem_type = 'key_value' and kv_key is not null").select("doc_id", "elem_seq", "kv_key", kv_confidence(F.col("kv_key")).alias("confidence"))
 
 
-_KEY = {k: p.replace("\\b", "\\b") for k, p in X.KEY_INFO.items()}
-
-
-@query("key_info", f"SELECT doc_id, {', '.join(f'regexp_extract_all(text, {chr(39)}{p}{chr(39)}) AS {k}' for k, p in _KEY.items())} FROM documents WHERE text IS NOT NULL")
+@query("key_info", f"""
+SELECT doc_id, list_concat(list_concat({', '.join(f"regexp_extract_all(text, '(?i){p}')" for p in X.DATES[:2])}), list_concat({', '.join(f"regexp_extract_all(text, '(?i){p}')" for p in X.DATES[2:])})) AS dates,
+ regexp_extract_all(text, '{X.MONEY}') AS monetary_amounts, regexp_extract_all(text, '{X.ORGANIZATION}') AS organizations FROM documents WHERE text IS NOT NULL""")
 def key_info(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p in X.KEY_INFO.items()])
+    dates, money, parties = X.key_info(F.col("text"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", dates.alias("dates"), money.alias("monetary_amounts"), parties.alias("organizations"))
 
 
-@query("redaction", f"SELECT doc_id, regexp_replace(regexp_replace(text, '{_KEY['dates']}', '[DATE]', 'g'), '{_KEY['codes']}', '[CODE]', 'g') AS redacted FROM documents WHERE text IS NOT NULL")
+@query("redaction", f"SELECT doc_id, regexp_replace(regexp_replace(text, '{X.REDACTED['date']}', '[DATE]', 'g'), '{X.REDACTED['code']}', '[CODE]', 'g') AS redacted FROM documents WHERE text IS NOT NULL")
 def redaction(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", X.redact(F.col("text"), {"date": X.KEY_INFO["dates"], "code": X.KEY_INFO["codes"]}).alias("redacted"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.redact(F.col("text"), X.REDACTED).alias("redacted"))
 
 
-@query("redaction_report", f"SELECT metadata.document_name AS doc, list_sort(list_distinct(flatten(list(metadata.page_numbers)))) AS pages, count(*) AS n FROM rag_chunks_sample WHERE regexp_matches(text, '{_KEY['codes']}') GROUP BY 1")
+@query("redaction_report", f"SELECT metadata.document_name AS doc, list_sort(list_distinct(flatten(list(metadata.page_numbers)))) AS pages, count(*) AS n FROM rag_chunks_sample WHERE regexp_matches(text, '{X.REDACTED['code']}') GROUP BY 1")
 def redaction_report(spark: SparkSession, d: str) -> DataFrame:
-    hit = table(spark, d, "rag_chunks_sample").where(F.col("text").rlike(X.KEY_INFO["codes"])).select(F.col("metadata.document_name").alias("doc"), "row_id", F.col("metadata.page_numbers").alias("p"))
+    hit = table(spark, d, "rag_chunks_sample").where(F.col("text").rlike(X.REDACTED["code"])).select(F.col("metadata.document_name").alias("doc"), "row_id", F.col("metadata.page_numbers").alias("p"))
     return hit.select("doc", "row_id", F.explode_outer("p").alias("page")).groupBy("doc").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.count_distinct("row_id").alias("n"))
 
 

@@ -182,9 +182,9 @@ def chunk_tsv(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("document_json", """
-SELECT doc_id, json_object('type', 'document', 'content', text, 'metadata', json_object('title', coalesce(title, ''), 'page_count', n_pages))::VARCHAR AS json FROM documents WHERE text IS NOT NULL AND n_pages IS NOT NULL AND regexp_matches(text, '^[ -~]*$')""")
+SELECT doc_id, json_object('type', 'document', 'content', text, 'metadata', json_object('title', coalesce(title, ''), 'page_count', n_pages))::VARCHAR AS json FROM documents WHERE text IS NOT NULL AND n_pages IS NOT NULL""")
 def document_json(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with a text and a page count, whatever its characters; the SQL covers printable ASCII only."""
+    """Every document with a text and a page count, whatever its characters."""
     t = table(spark, d, "documents").where("text is not null and n_pages is not null")
     meta = F.struct(F.coalesce("title", F.lit("")).alias("title"), F.col("n_pages").alias("page_count"))
     return t.select("doc_id", F.to_json(F.struct(F.lit("document").alias("type"), F.col("text").alias("content"), meta.alias("metadata"))).alias("json"))

