@@ -25,6 +25,13 @@ def _places(key: str) -> list[int]:
     return [(a + i * b) & (1 << BITS) - 1 for i in range(HASHES)]
 
 
+def _places_of_hashes(h: np.ndarray) -> np.ndarray:
+    """(keys, HASHES) positions of 64-bit hashes."""
+    h = h.astype(np.uint64)
+    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return ((a[:, None] + np.arange(HASHES, dtype=np.uint64)[None, :] * b[:, None]) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
 class Sieve:
     def __init__(self, blocks: dict[int, bytes]):
         bits = bytearray(1 << BITS - 3)
@@ -37,12 +44,23 @@ class Sieve:
         return all(bits[p >> 3] >> (p & 7) & 1 for p in _places(key))
 
 
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes may be there."""
+        bits = np.frombuffer(self.bits, np.uint8)
+        at = _places_of_hashes(hashes)
+        return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+
+
 def sieve(keys: DataFrame) -> Sieve:
-    """Over the first column of ``keys``; nulls are left out."""
+    """Over the first column of ``keys``, strings or 64-bit hashes; nulls are left out."""
+    hashed = keys.schema[0].dataType.typeName() == "long"
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.array([p for k in b.column(0).to_pylist() if k is not None for p in _places(k)], np.int64)
+            if hashed:
+                at = _places_of_hashes(b.column(0).drop_null().to_numpy()).ravel()
+            else:
+                at = np.array([p for k in b.column(0).to_pylist() if k is not None for p in _places(k)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> BLOCK).astype(np.int32)), pa.array((at & (1 << BLOCK) - 1).astype(np.int32))], names=["block", "at"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
