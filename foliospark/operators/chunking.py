@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,45 +14,68 @@ from ..functions import text as T
 LOOK_BACK = 10
 
 
-def window_spans(tokens: Column, size: int, overlap: int) -> Column:
-    """(start, end, respected) of each window over a token array.
+_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def window_spans(tokens: list[str], size: int, overlap: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, respected) of each window over the tokens, in time linear in them.
 
     A window ends after a token with a sentence mark when one lies among its last
-    LOOK_BACK tokens.  Only index pairs are folded, so the cost is linear in the
-    text.  No tokens give no windows.
+    LOOK_BACK tokens, the last of them.  No tokens give no windows.
     """
-    # bound once: an inlined token expression would be evaluated again at every step
-    return F.transform(F.array(tokens), lambda t: _window_spans(t, max(size, 1), min(overlap, max(size, 1) - 1)))[0]
-
-
-def _window_spans(tokens: Column, size: int, overlap: int) -> Column:
-    advance = max(1, size - LOOK_BACK + 1 - overlap) if size > LOOK_BACK else 1
-    ends = F.transform(tokens, lambda w: F.substring(w, -1, 1).isin(".", "!", "?"))
-    n = F.size(tokens)
-
-    def step(state: Column, _: Column) -> Column:
-        start, out, marks = state["start"], state["out"], state["marks"]
-        full = F.least(start + size, n)
-        cut = F.array_max(F.filter(F.sequence(F.greatest(full - LOOK_BACK, start + 2), full), lambda i: F.element_at(marks, i)))
-        respected = F.coalesce((full < n) & (full >= start + 2) & (cut >= start + 2), F.lit(False))
-        end = F.when(respected, cut).otherwise(full)
-        nxt = F.when(end >= n, n).when(end - overlap > start, end - overlap).otherwise(end)
-        more = F.struct(nxt.alias("start"), F.concat(out, F.array(F.struct(start.alias("start"), end.alias("end"), respected.alias("respected")))).alias("out"), marks.alias("marks"))
-        return F.when(start >= n, state).otherwise(more)
-
-    first = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,end:int,respected:boolean>>").alias("out"), ends.alias("marks"))
-    rounds = F.sequence(F.lit(1), F.ceil(n / F.lit(advance)).cast("int") + 1)
-    return F.aggregate(rounds, first, step, lambda s: s["out"])
-
-
-def fixed_windows(df: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
-    """(key, chunk_index, content, n_tokens, start_token, respected): windows of ``size`` words.  Null and blank texts give none."""
-    tokens = df.where(F.col(text).isNotNull()).select(key, T.words(F.col(text)).alias("_w"))
-    spans = tokens.select(key, "_w", F.posexplode(window_spans(F.col("_w"), size, overlap)).alias("chunk_index", "_s"))
-    return spans.select(
-        key, "chunk_index", F.array_join(F.slice("_w", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")), " ").alias("content"),
-        (F.col("_s.end") - F.col("_s.start")).alias("n_tokens"), F.col("_s.start").alias("start_token"), F.col("_s.respected").alias("respected"),
-    )
+    size = max(size, 1)
+    overlap, n, start = min(overlap, size - 1), len(tokens), 0
+    while start < n:
+        end = full = min(start + size, n)
+        respected = False
+        if full < n:
+            for i in range(full, max(full - LOOK_BACK, start + 2) - 1, -1):
+                if tokens[i - 1][-1] in ".!?":
+                    end, respected = i, True
+                    break
+        yield start, end, respected
+        if end >= n:
+            return
+        start = end - overlap if end - overlap > start else end
+
+
+#: Windows of a batch that leaves a worker, so that a very long text doesn't have to be there in all its windows.
+OUT_ROWS = 4096
+
+
+def fixed_windows(df: DataFrame, key: str, text: str, size: int, overlap: int, content: bool = True) -> DataFrame:
+    """(key, chunk_index, content, n_tokens, start_token, respected): windows of ``size`` words; with ``content`` false the first two and the numbers only.
+
+    Null and blank texts give none.  A text is cut into words once and its windows
+    are slices of them; no row carries the words of its text.
+    """
+    schema = df.select(key).schema.add("chunk_index", "integer")
+    if content:
+        schema = schema.add("content", "string")
+    schema = schema.add("n_tokens", "integer").add("start_token", "integer").add("respected", "boolean")
+    types = [pa.int32(), *([pa.string()] if content else []), pa.int32(), pa.int32(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+
+            def out() -> pa.RecordBatch:
+                cols = list(zip(*rows)) or [()] * len(types)
+                made = pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], names=schema.names)
+                at.clear(), rows.clear()
+                return made
+
+            for i, t in enumerate(b.column(1).to_pylist()):
+                tokens = _WORD.findall(t)
+                for k, (start, end, respected) in enumerate(window_spans(tokens, size, overlap)):
+                    at.append(i)
+                    rows.append((k, " ".join(tokens[start:end]), end - start, start, respected) if content else (k, end - start, start, respected))
+                    if len(rows) >= OUT_ROWS:
+                        yield out()
+            yield out()
+
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema)
 
 
 def linked(chunks: DataFrame, doc: str, index: str, chunk_id: str = "chunk_id") -> DataFrame:
@@ -104,124 +130,183 @@ def _sentences(t: str) -> list[str]:
     return [s.strip() for s in [*out, cur] if s.strip()]
 
 
-def hybrid_group(rows: list[dict], max_tokens: int = 512, merge: bool = True) -> list[dict]:
-    """Chunks of one document's ordered elements, each {seq, type, text, heading, pages}; a budget of words over the joined text."""
-    out: list[dict] = []
-    buf: list[dict] = []
+class HybridFold:
+    """Chunks of a document's elements as they come in order, under a budget of words over the joined text; holds one chunk."""
+
+    def __init__(self, max_tokens: int = 512, merge: bool = True):
+        self.max_tokens, self.merge = max_tokens, merge
+        self.buf: list[dict] = []
+        self.cost = 0
 
-    def emit(items: list[dict], text: str, over: bool) -> None:
-        out.append({"text": text, "heading": items[0]["heading"], "n_elements": len(items), "tokens": len(text.split()), "oversized": over, "first_seq": items[0]["seq"]})
+    @staticmethod
+    def _chunk(items: list[dict], text: str, over: bool) -> dict:
+        return {"text": text, "heading": items[0]["heading"], "n_elements": len(items), "tokens": len(text.split()), "oversized": over, "first_seq": items[0]["seq"]}
 
-    def flush() -> None:
-        if buf:
-            emit(list(buf), "\n".join(x["text"] for x in buf), False)
-            buf.clear()
+    def end(self) -> Iterator[dict]:
+        if self.buf:
+            yield self._chunk(self.buf, "\n".join(x["text"] for x in self.buf), False)
+        self.buf, self.cost = [], 0
 
-    cost = 0
-    for e in rows:
+    def push(self, e: dict) -> Iterator[dict]:
         n = len(e["text"].split())
-        if merge and buf and buf[-1]["type"] in INLINE and e["type"] in INLINE and cost + n <= max_tokens:
-            buf.append(e)
-            cost += n
-            continue
-        flush()
-        if n > max_tokens:
-            if e["type"] in SPLITTABLE:
-                cur = ""
-                for s in _sentences(e["text"]):
-                    if cur and len(cur.split()) + len(s.split()) > max_tokens:
-                        emit([e], cur, len(cur.split()) > max_tokens)
-                        cur = s
-                    else:
-                        cur = f"{cur} {s}" if cur else s
-                if cur:
-                    emit([e], cur, len(cur.split()) > max_tokens)
-            else:
-                emit([e], e["text"], True)
-            cost = 0
+        if self.merge and self.buf and self.buf[-1]["type"] in INLINE and e["type"] in INLINE and self.cost + n <= self.max_tokens:
+            self.buf.append(e)
+            self.cost += n
+            return
+        yield from self.end()
+        if n <= self.max_tokens:
+            self.buf, self.cost = [e], n
+        elif e["type"] in SPLITTABLE:
+            cur = ""
+            for s in _sentences(e["text"]):
+                if cur and len(cur.split()) + len(s.split()) > self.max_tokens:
+                    yield self._chunk([e], cur, len(cur.split()) > self.max_tokens)
+                    cur = s
+                else:
+                    cur = f"{cur} {s}" if cur else s
+            if cur:
+                yield self._chunk([e], cur, len(cur.split()) > self.max_tokens)
         else:
-            buf.append(e)
-            cost = n
-    flush()
-    return out
+            yield self._chunk([e], e["text"], True)
 
 
-HYBRID_SCHEMA = "doc_id string, chunk_index int, text string, heading string, n_elements int, tokens int, oversized boolean, first_seq int"
+_MARKED = re.compile(r"[^.!?]*[.!?]", re.S)
 
 
-def hybrid_chunks(elements: DataFrame, max_tokens: int = 512, merge: bool = True) -> DataFrame:
-    """Elements (doc_id, elem_seq, elem_type, text, ...) to chunks under a budget of words, in document order; one group is one document."""
-    shown = elements.dropDuplicates(["doc_id", "elem_seq"]).select(
-        "doc_id", "elem_seq", "elem_type", "parent_heading", display_text(F.col("elem_type"), F.col("text"), F.col("kv_key"), F.col("kv_value"), F.col("table_cells"), F.col("alt_text")).alias("shown")
-    )
+def greedy_sentences(text: str) -> list[str]:
+    """Each sentence mark ends a sentence; what follows the last mark belongs to the last sentence."""
+    out = [m.group().strip() for m in _MARKED.finditer(text)]
+    rest = text[sum(m.end() - m.start() for m in _MARKED.finditer(text)) :].strip()
+    if rest and out:
+        out[-1] += " " + rest
+    return out or ([rest] if rest else [])
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("elem_seq")
-        rows = [{"seq": int(a), "type": b, "heading": h, "text": t} for a, b, h, t in zip(pdf.elem_seq, pdf.elem_type, pdf.parent_heading, pdf.shown)]
-        got = hybrid_group(rows, max_tokens, merge)
-        return pd.DataFrame([{"doc_id": pdf.doc_id.iloc[0], "chunk_index": i, **c} for i, c in enumerate(got)], columns=[c.split()[0] for c in HYBRID_SCHEMA.split(", ")])
+class SemanticFold:
+    """Greedy chunks by elements as they come in order; titles, tables, images, headers and footers are never split.
 
-    return shown.groupBy("doc_id").applyInPandas(run, HYBRID_SCHEMA)
+    After a chunk its trailing elements of up to ``overlap`` words are carried on.  They
+    count against the budget of an element that is never split and of one that still
+    fits, and no longer once another element has opened the next chunk.
+    """
 
+    def __init__(self, max_tokens: int = 512, overlap: int = 50):
+        self.max_tokens, self.overlap = max_tokens, overlap
+        self.buf: list[tuple[str, int]] = []
+        self.count = 0
 
-def semantic_group(rows: list[dict], max_tokens: int, overlap: int) -> list[dict]:
-    """Greedy chunks by elements; titles, tables, images, headers and footers are never split; trailing elements of up to ``overlap`` words are carried on."""
-    out: list[dict] = []
-    buf: list[tuple[str, int]] = []
-    count = 0
+    @staticmethod
+    def _chunk(parts: list[str], over: bool = False) -> dict:
+        text = "\n".join(parts)
+        return {"text": text, "n_elements": len(parts), "tokens": len(text.split()), "oversized": over}
 
-    def flush() -> None:
-        nonlocal buf, count
-        if not buf:
+    def _flush(self) -> Iterator[dict]:
+        if not self.buf:
             return
-        out.append({"text": "\n".join(t for t, _ in buf), "n_elements": len(buf)})
+        yield self._chunk([t for t, _ in self.buf])
         keep: list[tuple[str, int]] = []
         total = 0
-        if overlap:
-            for t, n in reversed(buf):
-                if keep and total + n > overlap:
+        if self.overlap > 0:
+            for t, n in reversed(self.buf):
+                if keep and total + n > self.overlap:
                     break
-                keep.insert(0, (t, n))
+                keep.append((t, n))
                 total += n
-                if total >= overlap:
-                    break
-        buf, count = keep, 0
+        self.buf, self.count = keep[::-1], total
 
-    for e in rows:
+    def push(self, e: dict) -> Iterator[dict]:
         n = len(e["text"].split())
-        if count + n > max_tokens and buf:
-            flush()
-        if n > max_tokens and e["type"] not in WHOLE:
-            parts, cur = [], ""
-            for s in _sentences(e["text"]):
-                if cur and len(cur.split()) + len(s.split()) > max_tokens:
-                    parts.append(cur)
-                    cur = s
-                else:
-                    cur = f"{cur} {s}" if cur else s
-            for p in parts:
-                out.append({"text": p, "n_elements": 1})
-            if cur:
-                buf.append((cur, len(cur.split())))
-                count = len(cur.split())
-        elif n > max_tokens and not buf:
-            out.append({"text": e["text"], "n_elements": 1})
+        if e["type"] in WHOLE:
+            if self.count > 0 and self.count + n > self.max_tokens:
+                yield from self._flush()
+            if n > self.max_tokens and not self.buf:
+                yield self._chunk([e["text"]], True)
+            else:
+                self.buf.append((e["text"], n))
+                self.count += n
+        elif self.count + n <= self.max_tokens:
+            self.buf.append((e["text"], n))
+            self.count += n
+        elif n <= self.max_tokens:
+            yield from self._flush()
+            self.buf.append((e["text"], n))
+            self.count = n
         else:
-            buf.append((e["text"], n))
-            count += n
-    if buf:
-        out.append({"text": "\n".join(t for t, _ in buf), "n_elements": len(buf)})
-    return out
+            yield from self._flush()
+            cur, k = "", 0
+            for s in greedy_sentences(e["text"]):
+                m = len(s.split())
+                if cur and k + m > self.max_tokens:
+                    yield self._chunk([cur])
+                    cur, k = "", 0
+                cur = f"{cur} {s}" if cur else s
+                k += m
+            if cur:
+                self.buf.append((cur, k))
+                self.count = k
 
+    def end(self) -> Iterator[dict]:
+        if self.buf:
+            yield self._chunk([t for t, _ in self.buf])
+        self.buf, self.count = [], 0
+
+
+def fold_documents(shown: DataFrame, make: Callable[[], HybridFold | SemanticFold], columns: dict[str, pa.DataType]) -> DataFrame:
+    """Elements (doc_id, elem_seq, elem_type, heading, shown) to chunks (doc_id, chunk_index, ...columns).
+
+    Documents lie together and in order within a partition and stream through the
+    fold, so a worker holds one chunk of one document, however long that is.
+    """
+    names = ["doc_id", "chunk_index", *columns]
+    spark_types = {pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean"}
+    schema = f"doc_id {shown.schema['doc_id'].dataType.simpleString()}, chunk_index int, " + ", ".join(f"{c} {spark_types[t]}" for c, t in columns.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, doc, index = make(), None, 0
+        rows: list[tuple] = []
+
+        def add(chunks: Iterator[dict]) -> None:
+            nonlocal index
+            for c in chunks:
+                rows.append((doc, index, *(c[x] for x in columns)))
+                index += 1
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*rows)) or [()] * len(names)
+            made = pa.RecordBatch.from_arrays([pa.array(cols[0], doc_type), pa.array(cols[1], pa.int32()), *(pa.array(c, t) for c, t in zip(cols[2:], columns.values()))], names=names)
+            rows.clear()
+            return made
+
+        doc_type = pa.string()
+        for b in batches:
+            doc_type = b.schema.field(0).type
+            for d, seq, kind, heading, text in zip(*(c.to_pylist() for c in b.columns)):
+                if d != doc:
+                    add(fold.end())
+                    doc, index = d, 0
+                add(fold.push({"seq": seq, "type": kind, "heading": heading, "text": text}))
+            if len(rows) >= OUT_ROWS:
+                yield out()
+        add(fold.end())
+        yield out()
+
+    ordered = shown.repartition("doc_id").sortWithinPartitions("doc_id", "elem_seq")
+    return ordered.mapInArrow(run, schema)
+
+
+def _shown(elements: DataFrame) -> DataFrame:
+    return elements.dropDuplicates(["doc_id", "elem_seq"]).select(
+        "doc_id", F.col("elem_seq").cast("int").alias("elem_seq"), "elem_type", "parent_heading",
+        display_text(F.col("elem_type"), F.col("text"), F.col("kv_key"), F.col("kv_value"), F.col("table_cells"), F.col("alt_text")).alias("shown"),
+    )
 
-def semantic_chunks(elements: DataFrame, max_tokens: int = 512, overlap: int = 50) -> DataFrame:
-    shown = elements.dropDuplicates(["doc_id", "elem_seq"]).select(
-        "doc_id", "elem_seq", "elem_type", display_text(F.col("elem_type"), F.col("text"), F.col("kv_key"), F.col("kv_value"), F.col("table_cells"), F.col("alt_text")).alias("shown")
-    )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("elem_seq")
-        got = semantic_group([{"type": b, "text": t} for b, t in zip(pdf.elem_type, pdf.shown)], max_tokens, overlap)
-        return pd.DataFrame([{"doc_id": pdf.doc_id.iloc[0], "chunk_index": i, **c} for i, c in enumerate(got)], columns=["doc_id", "chunk_index", "text", "n_elements"])
+def hybrid_chunks(elements: DataFrame, max_tokens: int = 512, merge: bool = True) -> DataFrame:
+    """Elements (doc_id, elem_seq, elem_type, text, ...) to chunks under a budget of words, in document order."""
+    columns = {"text": pa.string(), "heading": pa.string(), "n_elements": pa.int32(), "tokens": pa.int32(), "oversized": pa.bool_(), "first_seq": pa.int32()}
+    return fold_documents(_shown(elements), lambda: HybridFold(max_tokens, merge), columns)
 
-    return shown.groupBy("doc_id").applyInPandas(run, "doc_id string, chunk_index int, text string, n_elements int")
+
+def semantic_chunks(elements: DataFrame, max_tokens: int = 512, overlap: int = 50) -> DataFrame:
+    columns = {"text": pa.string(), "n_elements": pa.int32(), "tokens": pa.int32(), "oversized": pa.bool_()}
+    return fold_documents(_shown(elements), lambda: SemanticFold(max_tokens, overlap), columns)

@@ -212,9 +212,9 @@ query("fixed_window_chunks_512", _CHUNK_SQL.replace("{size}", "512").replace("{o
 
 @query("chunks_by_language", f"WITH q AS ({_CHUNK_SQL.replace('{size}', '128').replace('{ov}', '16')}) SELECT lower(lang) AS lang, count(*) AS chunks, avg(n_tokens) AS mean_tokens, sum(CAST(respected AS INTEGER)) AS respected FROM q JOIN documents USING (doc_id) GROUP BY ALL")
 def chunks_by_language(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").select(F.lower("lang").alias("lang"), T.words(F.col("text")).alias("w"))
-    spans = docs.select("lang", F.explode(C.window_spans(F.col("w"), 128, 16)).alias("s"))
-    return spans.groupBy("lang").agg(F.count("*").alias("chunks"), F.avg(F.col("s.end") - F.col("s.start")).alias("mean_tokens"), F.sum(F.col("s.respected").cast("int")).alias("respected"))
+    docs = table(spark, d, "documents").select(F.lower("lang").alias("lang"), "text")
+    spans = C.fixed_windows(docs, "lang", "text", 128, 16, content=False)
+    return spans.groupBy("lang").agg(F.count("*").alias("chunks"), F.avg("n_tokens").alias("mean_tokens"), F.sum(F.col("respected").cast("int")).alias("respected"))
 
 
 @query("chunk_byte_offsets", f"WITH q AS ({_CHUNK_SQL.replace('{size}', '128').replace('{ov}', '16')}) SELECT doc_id, chunk_index, coalesce(sum(strlen(content)) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char FROM q")

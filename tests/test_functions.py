@@ -63,16 +63,6 @@ def test_calculation(spark):
     assert K.depends_on({"x": "y + 1", "y": "z"}, "x", "z")
 
 
-def test_hybrid_group_budget():
-    rows = [{"seq": i, "type": "paragraph", "text": "w " * 5, "heading": None} for i in range(5)]
-    got = C.hybrid_group(rows, 10)
-    assert [g["n_elements"] for g in got] == [2, 2, 1]
-    long = [{"seq": 0, "type": "paragraph", "text": "a b c. d e f. g", "heading": "H"}]
-    assert [g["text"] for g in C.hybrid_group(long, 4)] == ["a b c.", "d e f. g"]
-    table = [{"seq": 0, "type": "table", "text": "a b c d e", "heading": None}]
-    assert C.hybrid_group(table, 4)[0]["oversized"]
-
-
 def test_xy_cut_two_columns():
     import pandas as pd
 
