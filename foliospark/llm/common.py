@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -26,17 +27,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0)).cast("long")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder.  Only a local session (tests) that names none gets one of its own; elsewhere executors could not read it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: used where a result is read more than once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def fields(df: DataFrame, key: str = "row_id") -> DataFrame:
@@ -54,9 +53,29 @@ def tokenizer_path(name: str) -> str:
 
 
 def spool(df: DataFrame) -> DataFrame:
-    """Written as a table into the shared checkpoint folder and read back: compressed, survives lost executors."""
+    """Written as a table into the shared checkpoint folder and read back: compressed, survives lost executors.
+
+    It is there until :func:`drop_spools` or the end of the driver's Python, as the
+    frames made from it are read later.
+    """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/spool-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/spool-{uuid.uuid4().hex}"
+    if not _SPOOLS:
+        atexit.register(drop_spools, spark)
+    _SPOOLS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SPOOLS: list[str] = []
+
+
+def drop_spools(spark: SparkSession) -> None:
+    """Delete the tables that operators wrote in between; for when their results have been stored."""
+    try:
+        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+        while _SPOOLS:
+            path = jvm.org.apache.hadoop.fs.Path(_SPOOLS.pop())
+            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone, and with it the way to the folder
+        _SPOOLS.clear()

@@ -32,7 +32,7 @@ _ENCODING = re.compile(
 )
 _FORMS = re.compile(f"[{lookalike_chars.INVISIBLE}{lookalike_chars.SPACES}{lookalike_chars.FORMS}{lookalike_chars.MARKS}]")
 _LAT, _CYR, _GRK = "A-Za-zªºÀ-ÖØ-öø-ɏ", "Ѐ-ԯ", "Ͱ-Ͽἀ-῿"
-_MIXED = re.compile(f"[{_LAT}][{_CYR}{_GRK}]|[{_CYR}][{_LAT}{_GRK}]|[{_GRK}][{_LAT}{_CYR}]|[^\\W\\d_][´ˊ`ˋ¨˜ˆ¸‘ʹ][^\\W\\d_]")
+_MIXED = re.compile(f"[{_LAT}][{_CYR}{_GRK}]|[{_CYR}][{_LAT}{_GRK}]|[{_GRK}][{_LAT}{_CYR}]|[^\\W\\d_][´ˊ`ˋ¨˜ˆ¸ʹ][^\\W\\d_]")
 
 
 #: Characters of problem 6; without them the rest of a text decides about wrong decoding.
@@ -46,7 +46,7 @@ def needs(text: str) -> tuple[bool, bool]:
     chars = set(text)
     rest = chars - _LOOKALIKE
     if rest <= PLAIN:
-        encoding = bool(rest & _TRIGGERS) and bool(_PAIRS.search(text)) or "í" in rest and bool(_ELISION.search(text))
+        encoding = bool(rest & _TRIGGERS) and bool(_PAIRS.search(text)) or "í" in rest and bool(_ELISION.search(text)) or "ì" in rest and bool(mojibake.LETTER_QUOTES.search(text))
         return encoding, encoding or len(rest) < len(chars) or "`" in chars
     if rest <= PLAIN_CYRILLIC or rest <= PLAIN_GREEK:
         mixed = bool(_MIXED.search(text))
@@ -60,7 +60,7 @@ def ordinary(text: str) -> bool:
 
 
 def encoding_suspect(text: str) -> bool:
-    return needs(text)[0] and bool(_ENCODING.search(text) or mojibake._ODD.search(text) or mojibake._CYRILLIC_CAPS.search(text))
+    return needs(text)[0] and bool(_ENCODING.search(text) or mojibake._ODD.search(text) or mojibake._CYRILLIC_CAPS.search(text) or mojibake.LETTER_QUOTES.search(text))
 
 
 def lookalike_suspect(text: str) -> bool:
@@ -75,6 +75,6 @@ def restored(text: str) -> str:
 def plain(text: str) -> str:
     """Encoding damage undone and stand-in characters mapped."""
     encoding, lookalike = needs(text)
-    if encoding and (_ENCODING.search(text) or mojibake._ODD.search(text) or mojibake._CYRILLIC_CAPS.search(text)):
+    if encoding and encoding_suspect(text):
         text = mojibake.restore(text)
     return lookalike_chars.map_lookalikes(text) if lookalike and lookalike_suspect(text) else text

@@ -18,7 +18,7 @@ SPACES = "   -   　"
 FORMS = "！-～ﬀ-ﬆﬓ-ﬗ\U0001d400-\U0001d7ff℀-℁①-⑳Ⓐ-ⓩǄ-ǌǱ-ǳĲĳⅠ-ⅿ"
 MARKS = "̀-ͯ"
 #: Spacing accents after a vowel or consonant that takes them, inside a word.
-ACCENT_SIGNS = {"´": "́", "ˊ": "́", "`": "̀", "ˋ": "̀", "¨": "̈", "˜": "̃", "~": "̃", "ˆ": "̂", "^": "̂", "¸": "̧", "‘": "́", "ʹ": "́"}
+ACCENT_SIGNS = {"´": "́", "ˊ": "́", "`": "̀", "ˋ": "̀", "¨": "̈", "˜": "̃", "~": "̃", "ˆ": "̂", "^": "̂", "¸": "̧", "ʹ": "́"}
 # Letters that look the same in Latin, Cyrillic and Greek.
 LATIN_OF_CYRILLIC = dict(zip("аеорсухіјѕԁһӏԛԝАВЕКМНОРСТУХЅІЈԌҮӀ", "aeopcyxijsdhlqwABEKMHOPCTYXSIJGYI"))
 LATIN_OF_GREEK = dict(zip("αινορτυχκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aivoptuxkABEZHIKMNOPTYX"))
@@ -34,7 +34,7 @@ _INVIS = regex.compile(f"[{INVISIBLE}]+")
 _SPACE = regex.compile(f"[{SPACES}]")
 _FORM = regex.compile(f"[{FORMS}]+")
 _MARK = regex.compile(rf"\p{{L}}[{MARKS}]+")
-_SIGN = regex.compile(r"(?<=\p{L})([aeiouAEIOUncNCIıі])([´ˊ`ˋ¨˜ˆ¸‘ʹ])(?=\p{Ll})|(?<![\p{L}])([aeiouAEIOU])([´ˊ¨‘])(?=\p{Ll}{2})")
+_SIGN = regex.compile(r"(?<=\p{L})([aeiouAEIOUncNCIıі])([´ˊ`ˋ¨˜ˆ¸ʹ])(?=\p{Ll})|(?<![\p{L}])([aeiouAEIOU])([´ˊ¨])(?=\p{Ll}{2})")
 #: Words that hold letters of several alphabets.
 _MIXED = regex.compile(rf"(?:[{_LAT}]+[{_CYR}{_GRK}]|[{_CYR}]+[{_LAT}{_GRK}]|[{_GRK}]+[{_LAT}{_CYR}])[{_LAT}{_CYR}{_GRK}]*")
 _L, _C, _G = regex.compile(f"[{_LAT}]"), regex.compile(f"[{_CYR}]"), regex.compile("[Ͱ-Ͽἀ-῿]")
@@ -42,7 +42,7 @@ _L, _C, _G = regex.compile(f"[{_LAT}]"), regex.compile(f"[{_CYR}]"), regex.compi
 #: Java regular expression: superset of the values that map_lookalikes changes.
 PREFILTER = (
     f"[{INVISIBLE}{SPACES}]|[\\x{{ff01}}-\\x{{ff5e}}\\x{{fb00}}-\\x{{fb17}}\\x{{1d400}}-\\x{{1d7ff}}\\x{{2100}}\\x{{2101}}\\x{{2460}}-\\x{{2473}}\\x{{24b6}}-\\x{{24e9}}\\x{{01c4}}-\\x{{01cc}}\\x{{01f1}}-\\x{{01f3}}\\x{{0132}}\\x{{0133}}\\x{{2160}}-\\x{{217f}}]"
-    f"|\\p{{L}}[{MARKS}]|[{_LAT}][{_CYR}{_GRK}]|[{_CYR}][{_LAT}{_GRK}]|[{_GRK}][{_LAT}{_CYR}]|\\p{{L}}[´ˊ`ˋ¨˜ˆ¸‘ʹ]\\p{{Ll}}"
+    f"|\\p{{L}}[{MARKS}]|[{_LAT}][{_CYR}{_GRK}]|[{_CYR}][{_LAT}{_GRK}]|[{_GRK}][{_LAT}{_CYR}]|\\p{{L}}[´ˊ`ˋ¨˜ˆ¸ʹ]\\p{{Ll}}"
 )
 
 

@@ -27,7 +27,6 @@ BYTE_PAIRS = (
     ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("cp1253", "cp1252"),
     ("cp1251", "mac_roman"), ("koi8-r", "mac_roman"), ("cp1253", "mac_roman"), ("cp1251", "cp437"), ("cp1253", "cp437"), ("cp1251", "cp850"), ("iso8859-5", "cp1252"),
 )
-MAX_ROUNDS = 4
 
 _UTF8 = re.compile("(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 #: What a decoded span may hold: Latin letters and signs, Greek, Cyrillic, punctuation, letter-like signs, arrows, maths, ligatures, full-width forms.
@@ -100,6 +99,17 @@ def _weight(span: str, charset: str) -> float:
     return good
 
 
+_CYRILLIC, _GREEK = re.compile("[Ѐ-ӿ]"), re.compile("[Ͱ-Ͽ]")
+
+
+def _without(text: str, spans: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for a, b, _ in spans:
+        out.append(text[at:a])
+        at = b
+    return " ".join([*out, text[at:]])
+
+
 def _undo_utf8(text: str) -> str | None:
     best, best_w = None, 0.9
     chars = set(text)
@@ -109,8 +119,12 @@ def _undo_utf8(text: str) -> str | None:
             continue
         spans = _spans(text, charset)
         if charset in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "cp1253", "iso8859-7"):
-            # here single pairs occur in ordinary Cyrillic or Greek ("СССР»"): ask for a run
-            spans = [x for x in spans if x[1] - x[0] >= 6 or (x[1] - x[0] >= 4 and charset in ("koi8-r", "cp866")) or x[2] in _LATIN + _SIGNS and not text[x[0] - 1 : x[0]].isupper() and len(x[2]) == 1 and x[1] - x[0] >= 3]
+            # here single pairs occur in ordinary Cyrillic or Greek ("СССР»"): ask for a run, unless nothing else in the text is of that alphabet
+            native = _GREEK if charset in ("cp1253", "iso8859-7") else _CYRILLIC
+            if native.search(_without(text, spans)):
+                spans = [x for x in spans if x[1] - x[0] >= 6 or (x[1] - x[0] >= 4 and charset in ("koi8-r", "cp866")) or x[2] in _LATIN + _SIGNS and not text[x[0] - 1 : x[0]].isupper() and len(x[2]) == 1 and x[1] - x[0] >= 3]
+            else:
+                spans = [x for x in spans if x[1] - x[0] >= 4 or x[2] in _LATIN + _SIGNS]
         if not spans:
             continue
         w = sum(_weight(s, charset) for _, _, s in spans) - 0.01 * rank
@@ -185,6 +199,13 @@ def _word_ok(token: str, cyrillic: bool) -> bool:
     return True
 
 
+def _all_ordinary(text: str, cyrillic: bool) -> bool:
+    """Whether nothing in the text is foreign to the languages: then all of it was read in the other charset, signs included."""
+    if any(ord(c) > 126 and c not in _NORMAL and not (cyrillic and ("Ѐ" <= c <= "џ" or "΄" <= c <= "ώ")) for c in set(text)):
+        return False
+    return all(_word_ok(t, cyrillic and not t.isascii() and bool(_CYRILLIC.search(t) or _GREEK.search(t))) for t in set(_TOKEN.findall(text)) if _FOREIGN.search(t))
+
+
 def _undo_bytes(text: str) -> str:
     odd = [t for t in set(_TOKEN.findall(text)) if _ODD.search(t)]
     if not odd:
@@ -204,6 +225,9 @@ def _undo_bytes(text: str) -> str:
     if not best:
         return text
     table, cyr = best
+    whole = text.translate(table)
+    if _all_ordinary(whole, cyr):
+        return whole
 
     def fix(m: re.Match) -> str:
         t = m.group()
@@ -241,6 +265,10 @@ def _undo_cyrillic(text: str) -> str:
         # words in capitals that turn to the language's pairs in small letters
         bad = {w: n for w in words if (n := w.translate(table)) != w and n.isalpha() and (n.islower() or n[1:].islower()) and not w.islower() and _russian(n) > 2 * _russian(w) and _russian(n) * 4 >= len(n)}
         if sum(map(len, bad)) >= 8:
+            whole = text.translate(table)
+            new = _CYRILLIC_WORD_ANY.findall(whole)
+            if _all_ordinary(whole, True) and sum(map(_russian, new)) > 2 * sum(map(_russian, _CYRILLIC_WORD_ANY.findall(text))):
+                return whole
             # short words beside them go the same way
             return _CYRILLIC_WORD_ANY.sub(lambda m: bad.get(m.group()) or (m.group().translate(table) if m.group().isupper() and _russian(m.group().translate(table)) >= _russian(m.group()) else m.group()), text)
     return text
@@ -249,14 +277,15 @@ def _undo_cyrillic(text: str) -> str:
 _CYRILLIC_WORD_ANY = re.compile("[А-Яа-яЁё]+")
 
 
+#: Quotation marks of one charset read as letters of another.
+LETTER_QUOTES = re.compile(r"(?<![^\W_])ì([A-Z0-9][\w-]*)î(?![^\W_])")
+
+
 def restore(text: str) -> str:
-    """The text with all restorable damage undone; itself when there is none."""
-    for _ in range(MAX_ROUNDS):
-        new = _undo_utf8(text)
-        if new is None or new == text:
-            break
+    """The text with all restorable damage undone, however often it was done; itself when there is none.  Every round leaves fewer characters."""
+    while (new := _undo_utf8(text)) is not None and len(new) < len(text):
         text = new
-    return _undo_cyrillic(_undo_bytes(text))
+    return _undo_bytes(_undo_cyrillic(LETTER_QUOTES.sub(r"“\1”", text)))
 
 
 #: What stays of damage that cannot be restored.

@@ -59,6 +59,8 @@ _CORE = re.compile(r"^\W*(.*?)\W*$", re.S)
 _BREAK = re.compile(r"([^\W\d_][^\W_]*)([-¬‐])[ \t]*_?[ \t]*\r?\n[ \t]*([^\W_]+)")
 _CUT = re.compile(r"([^\W\d_]+)([-¬‐][ \t]*_?[ \t\r]*)$")
 _FIRST = re.compile(r"[ \t]*([^\W_]+)")
+#: An accent read as a quotation mark.
+_TORN = re.compile(r"([aA])‘(?=[^\W\d_])")
 _STRAY = re.compile(r"[ \t]+_[ \t]*(?=\r?\n)")
 _PAGE = re.compile(r"^[\W_]*(?:(?:p|pp|pág|pag|page|página|pagina|seite|s|стр|σελ)\b\.?)?[\W_]*\d{1,5}[\W_]*$", re.I)
 
@@ -235,10 +237,11 @@ class Asker:
         """Words, and pairs as 'a b'; None for texts that hold nothing in doubt."""
         if "_" in text:
             text = _STRAY.sub("-", text)
+        text, torn = _TORN.subn(_with_accent, text)
         cut = self.breaks(text)
         odd = {w for w in set(_WORD.findall(text.lower())) if self.doubtful(w)}
         if not cut and not odd:
-            return None
+            return [] if torn else None
         ask: set[str] = set()
         joined = {x + y for x, y in cut}
         for x, y in cut:
@@ -267,10 +270,15 @@ class Asker:
         return sorted(ask)
 
 
+def _with_accent(x: re.Match) -> str:
+    return "á" if x.group(1) == "a" else "Á"
+
+
 def examine(text: str, m: ScanModel) -> tuple[int, int, str]:
     """(broken words, misread words, text with both undone)."""
     if "_" in text:
         text = _STRAY.sub("-", text)
+    text, misread = _TORN.subn(_with_accent, text)
     breaks = 0
 
     def join(x: re.Match) -> str:
@@ -293,9 +301,8 @@ def examine(text: str, m: ScanModel) -> tuple[int, int, str]:
                         lines[i], lines[j] = line[: x.start(2)] + y.group(1), lines[j][y.end() :].lstrip()
                         break
         text = "\n".join(lines)
-    misread = 0
     if not m.doubtful(text):
-        return breaks, 0, text
+        return breaks, misread, text
     plain = m.plain
     lines = text.split("\n")
     for i, line in enumerate(lines):

@@ -165,7 +165,7 @@ def test_ordinary_text_is_left_alone(text):
     assert gate.plain(text) == text
 
 
-@pytest.mark.parametrize("odd, plain", [("ｆｕｌｌ", "full"), ("е​nd оf", "еnd of"), ("re\xadport\xa0a", "report a"), ("café", "café"), ("oﬃce", "office"), ("officе", "office"), ("Rеgіster", "Register"), ("𝐝𝐨𝐬𝐢𝐞𝐫", "dosier"), ("bita‘cora", "bitácora"), ("перечень aктивов", "перечень активов")])
+@pytest.mark.parametrize("odd, plain", [("ｆｕｌｌ", "full"), ("е​nd оf", "еnd of"), ("re\xadport\xa0a", "report a"), ("café", "café"), ("oﬃce", "office"), ("officе", "office"), ("Rеgіster", "Register"), ("𝐝𝐨𝐬𝐢𝐞𝐫", "dosier"), ("перечень aктивов", "перечень активов")])
 def test_lookalikes_map_to_one_form(odd, plain):
     if odd.startswith("е​"):
         assert lookalike_chars.map_lookalikes(odd).endswith("nd of")
@@ -207,6 +207,7 @@ def test_scan_noise_is_undone():
     assert scans.examine("the docu¬\n ment", m)[0] == 1
     assert scans.examine("legal-\nadministrative register REQ-\n18 [op.5r]", m)[:2] == (0, 0)
     assert scans.examine("", m) == (0, 0, "")
+    assert scans.examine("la bita‘cora ‘a’ bc", m) == (0, 1, "la bitácora ‘a’ bc")  # a torn accent is the scanner's, not a look-alike
     assert scans.paragraphs("The docu\nment goes on\n— 45 —\nto the end of the line.\n\nNext", None).endswith("Next")
 
 
