@@ -7,7 +7,7 @@ import importlib.util
 
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = ("text_queries", "table_queries", "layout_queries", "extract_queries", "structure_queries", "helper_queries", "page_queries")
+MODULES = ("text_queries", "table_queries", "layout_queries", "extract_queries", "structure_queries", "helper_queries", "page_queries", "file_queries")
 
 
 def _load() -> None:

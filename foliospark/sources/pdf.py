@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -24,6 +24,8 @@ SCHEMA = (
     "path string, page_idx int, page_width double, page_height double, rotation int, seq int, text string, x double, y double, width double, height double, "
     "font_size double, font_name string, is_bold boolean, is_italic boolean, mcid int, struct_tag string, error string"
 )
+#: Most bytes a page's content may have when decoded.
+MAX_STREAM = 1 << 28
 MAX_PAGES = 100_000
 
 _DELIMITERS = b"()<>[]{}/%"
@@ -275,7 +277,14 @@ class Document:
             v = self.objects.get(v.number)
         return None
 
-    def decode(self, s: Stream) -> bytes:
+    def decode(self, s: Stream, most: int | None = None) -> bytes:
+        """The data behind a stream's filters; more than ``most`` bytes are an error."""
+        data = self._decode(s)
+        if most is not None and len(data) > most:
+            raise ValueError(f"stream of more than {most} bytes")
+        return data
+
+    def _decode(self, s: Stream) -> bytes:
         names, parms = self.get(s.info.get("Filter")), self.get(s.info.get("DecodeParms"))
         names = names if isinstance(names, list) else [names] if names else []
         parms = parms if isinstance(parms, list) else [parms] * len(names)
@@ -341,7 +350,7 @@ class Font:
     def text(self, b: bytes) -> str:
         step = 2 if self.wide else 1
         codes = [b[i : i + step] for i in range(0, len(b), step)]
-        return "".join(self.table.get(c) or ("" if self.wide else c.decode("cp1252", "replace")) for c in codes)
+        return "".join(self.table.get(c) or c.decode("utf-16-be" if self.wide else "cp1252", "replace") for c in codes)
 
     def width(self, b: bytes) -> float:
         step = 2 if self.wide else 1
@@ -362,7 +371,7 @@ def fragments(doc: Document, page: dict) -> Iterator[dict]:
     """The text-state machine over a page's content operators."""
     contents = doc.get(page.get("Contents"))
     parts = [doc.get(c) for c in contents] if isinstance(contents, list) else [contents]
-    data = b"\n".join(doc.decode(s) for s in parts if isinstance(s, Stream))
+    data = b"\n".join(doc.decode(s, MAX_STREAM) for s in parts if isinstance(s, Stream))
     yield from _run(doc, doc.get(page.get("Resources")) or {}, data, (1, 0, 0, 1, 0, 0), 0)
 
 
@@ -457,7 +466,7 @@ def _run(doc: Document, resources: dict, data: bytes, ctm: tuple, depth: int) ->
 
 
 def parse(data: bytes) -> list[dict]:
-    """Rows of SCHEMA without the path; one error row for what cannot be read."""
+    """Rows of SCHEMA without the path; one error row for a file, or a page, that cannot be read."""
     none = dict.fromkeys([c.split()[0] for c in SCHEMA.split(", ")][1:])
     try:
         doc = Document.parse(bytes(data))
@@ -466,13 +475,86 @@ def parse(data: bytes) -> list[dict]:
             box = doc.get(page.get("MediaBox")) or [0, 0, 612, 792]
             box = [float(doc.get(b) or 0) for b in box]
             size = {"page_idx": i, "page_width": box[2] - box[0], "page_height": box[3] - box[1], "rotation": int(doc.get(page.get("Rotate")) or 0) % 360}
-            found = [none | size | {"seq": k} | f for k, f in enumerate(fragments(doc, page))]
+            try:
+                found = [none | size | {"seq": k} | f for k, f in enumerate(fragments(doc, page))]
+            except (ValueError, zlib.error, RecursionError, TypeError, KeyError, IndexError) as e:
+                found = [none | size | {"error": f"{type(e).__name__}: {e}"}]  # the other pages stay
             rows += found or [none | size]
         return rows
     except (ValueError, zlib.error, RecursionError, TypeError, KeyError, IndexError) as e:
         return [none | {"error": f"{type(e).__name__}: {e}"}]
 
 
+def _plain(v: object) -> str | None:
+    """A text string: UTF-16 behind its mark, else one byte a character."""
+    if not isinstance(v, bytes):
+        return None
+    return v[2:].decode("utf-16-be", "replace") if v[:2] == b"\xfe\xff" else v.decode("cp1252", "replace")
+
+
+META = "path string, version string, valid boolean, encrypted boolean, pages int, title string, author string, subject string, producer string, error string"
+
+
+def metadata(data: bytes) -> dict:
+    """What a file says of itself; valid: it has a header, an end and readable pages.  Files that cannot be read have the error instead."""
+    data = bytes(data)
+    out = dict.fromkeys([c.split()[0] for c in META.split(", ")][1:])
+    version = re.search(rb"%PDF-(\d\.\d)", data[:1024])
+    out |= {"version": version[1].decode() if version else None, "valid": False, "encrypted": bool(re.search(rb"/Encrypt\b", data))}
+    try:
+        doc = Document.parse(data)
+        info = doc.get(doc.trailer.get("Info"))
+        info = info if isinstance(info, dict) else {}
+        out |= {k.lower(): _plain(doc.get(info.get(k))) for k in ("Title", "Author", "Subject", "Producer")}
+        out["pages"] = len(doc.pages())
+        out["valid"] = out["pages"] > 0 and b"%%EOF" in data[-1024:]
+    except (ValueError, zlib.error, RecursionError, TypeError, KeyError, IndexError) as e:
+        out["error"] = f"{type(e).__name__}: {e}"
+    return out
+
+
+NOTES = "path string, page_idx int, kind string, x0 double, y0 double, x1 double, y1 double, uri string, contents string"
+
+
+def annotations(data: bytes) -> list[dict]:
+    """The annotations of each page in order; none where the file cannot be read."""
+    rows = []
+    try:
+        doc = Document.parse(bytes(data))
+        for i, page in enumerate(doc.pages()):
+            for a in doc.get(page.get("Annots")) or []:
+                a = doc.get(a)
+                if isinstance(a, dict):
+                    box = [float(doc.get(x) or 0) for x in doc.get(a.get("Rect")) or (0, 0, 0, 0)]
+                    action = doc.get(a.get("A")) or {}
+                    rows.append({"page_idx": i, "kind": str(a.get("Subtype") or ""), **dict(zip(("x0", "y0", "x1", "y1"), box)), "uri": _plain(doc.get(action.get("URI"))), "contents": _plain(doc.get(a.get("Contents")))})
+    except (ValueError, zlib.error, RecursionError, TypeError, KeyError, IndexError):
+        pass
+    return rows
+
+
+def _scan(files: DataFrame, rows: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
+    columns = [c.split()[0] for c in schema.split(", ")]
+    ints = {c.split()[0]: "Int32" for c in schema.split(", ") if c.endswith(" int")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf.path, pdf.content):
+                yield pd.DataFrame([{"path": path, **r} for r in rows(content)], columns=columns).astype(ints)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def scan_metadata(files: DataFrame) -> DataFrame:
+    """(path, content) to a row of META a file."""
+    return _scan(files, lambda b: [metadata(b)], META)
+
+
+def scan_annotations(files: DataFrame) -> DataFrame:
+    """(path, content) to a row of NOTES an annotation."""
+    return _scan(files, annotations, NOTES)
+
+
 def parse_files(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """(path, content) to fragments.  mode: PERMISSIVE keeps error rows, DROPMALFORMED drops them, FAILFAST fails on the first."""
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -481,11 +563,11 @@ def parse_files(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
         for pdf in batches:
             for path, content in zip(pdf.path, pdf.content):
                 rows = parse(content)
-                if rows and rows[0]["error"]:
-                    if mode == "FAILFAST":
-                        raise ValueError(f"{path}: {rows[0]['error']}")
-                    if mode == "DROPMALFORMED":
-                        continue
+                bad = [r["error"] for r in rows if r["error"]]
+                if bad and mode == "FAILFAST":
+                    raise ValueError(f"{path}: {bad[0]}")
+                if mode == "DROPMALFORMED":
+                    rows = [r for r in rows if not r["error"]]
                 out = pd.DataFrame([{"path": path, **r} for r in rows], columns=columns)
                 yield out.astype({c: "Int32" for c in ("page_idx", "rotation", "seq", "mcid")})
 
