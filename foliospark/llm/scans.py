@@ -50,6 +50,8 @@ LEAST_COUNT = 4
 SEEN_WORD, SEEN_PAIR = 2, 3
 #: How far a confusion's estimated rate may move its channel probability (log).
 MOST_SHIFT = 1.0
+#: Mark of the words in doubt among what a text asks for.
+IN_DOUBT = "\x01"
 #: Distinct words a worker remembers its answers for.
 REMEMBERED = 300_000
 
@@ -119,9 +121,10 @@ def _explains(m: float, p: float, n: float, c: str) -> bool:
 
 
 class ScanModel:
-    """Counts of words and pairs, all of them or those a text asks for, and the candidates of words; shifts: what the estimated rate adds to a confusion's log probability."""
+    """Counts of words and pairs, all of them or those a text asks for, and the candidates of words, or of ``doubts`` only; shifts: what the estimated rate adds to a confusion's log probability."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int], total: int | None = None, shifts: dict[int, float] | None = None):
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], total: int | None = None, shifts: dict[int, float] | None = None, doubts: set[str] | None = None):
+        self.doubts = doubts
         self.words, self.pairs, self.shifts = words, pairs, shifts or {}
         self.total = (sum(words.values()) if total is None else total) + 1
         self._known: dict[str, tuple[tuple[str, float], ...]] = {}
@@ -129,6 +132,8 @@ class ScanModel:
 
     def candidates(self, w: str) -> tuple[tuple[str, float], ...]:
         """Likelier true words for a read one, with their channel log probability."""
+        if self.doubts is not None and w not in self.doubts:
+            return ()
         if w not in self._known:
             self._known[w] = self._candidates(w)
         return self._known[w]
@@ -208,15 +213,18 @@ class Asker:
 
     def __init__(self, known: Sieve, doubtful: Sieve):
         self.known, self.doubts = known, doubtful
-        self.doubt: dict[str, bool] = {}
-
-    def doubtful(self, w: str) -> bool:
-        d = self.doubt.get(w)
-        if d is None:
-            if len(self.doubt) > REMEMBERED:
-                self.doubt.clear()
-            d = self.doubt[w] = "d" + w in self.doubts
-        return d
+        self.fine: set[str] = set()
+        self.odd: set[str] = set()
+
+    def doubtful(self, words: set[str]) -> set[str]:
+        """Those of the words that are in doubt; answers are remembered."""
+        new = words - self.fine
+        for w in new - self.odd:
+            # a word that no text holds as it is, only a mended one, has no count to tell
+            (self.odd if "d" + w in self.doubts or "w" + w not in self.known and len(self.options(w)) > 1 else self.fine).add(w)
+        if len(self.fine) > REMEMBERED:
+            self.fine.clear()
+        return new & self.odd
 
     def options(self, w: str) -> set[str]:
         return {w, *(c for c in _readings(w) if "f" + c in self.known)}
@@ -234,12 +242,12 @@ class Asker:
         return found
 
     def __call__(self, text: str) -> list[str] | None:
-        """Words, and pairs as 'a b'; None for texts that hold nothing in doubt."""
+        """Words, pairs as 'a b', and the words in doubt behind IN_DOUBT; None for texts that hold nothing in doubt."""
         if "_" in text:
             text = _STRAY.sub("-", text)
         text, torn = _TORN.subn(_with_accent, text)
         cut = self.breaks(text)
-        odd = {w for w in set(_WORD.findall(text.lower())) if self.doubtful(w)}
+        odd = self.doubtful(set(_WORD.findall(text.lower())))
         if not cut and not odd:
             return [] if torn else None
         ask: set[str] = set()
@@ -254,7 +262,7 @@ class Asker:
 
         def options(w: str) -> set[str]:
             if w not in kept:
-                kept[w] = self.options(w) if w in joined or self.doubtful(w) else {w}
+                kept[w] = self.options(w) if w in joined or w in odd or self.doubtful({w}) else {w}
             return kept[w]
 
         for form in forms:
@@ -267,7 +275,7 @@ class Asker:
                         before, here, after = options(ws[k - 1]) if k else set(), options(w), options(ws[k + 1]) if k + 1 < len(ws) else set()
                         ask |= before | here | after
                         ask |= {f"{a} {b}" for a in before for b in here} | {f"{a} {b}" for a in here for b in after}
-        return sorted(ask)
+        return sorted(ask | {IN_DOUBT + w for w in odd | joined})
 
 
 def _with_accent(x: re.Match) -> str:
@@ -405,15 +413,15 @@ def _asked(chunks: DataFrame, filters: tuple[Sieve, Sieve]) -> DataFrame:
 def _answered(asked: DataFrame, counts: DataFrame, total: int, shifts: dict[int, float]) -> DataFrame:
     """(row_id, broken, misread, text) of the texts that ask for counts."""
     told = counts.where(F.col("n") >= F.when(F.col("w").contains(" "), SEEN_PAIR).otherwise(SEEN_WORD))
-    found = asked.select("row_id", F.explode("_ask").alias("w")).distinct().join(told, "w").groupBy("row_id").agg(F.collect_list(F.struct("w", "n")).alias("_n"))  # bounded by a text's words
-    src = asked.join(found, "row_id", "left").select("row_id", "_d", "_o", "_t", "_n")
+    found = asked.select("row_id", F.explode("_ask").alias("w")).where(~F.col("w").startswith(IN_DOUBT)).distinct().join(told, "w").groupBy("row_id").agg(F.collect_list(F.struct("w", "n")).alias("_n"))  # bounded by a text's words
+    src = asked.join(found, "row_id", "left").select("row_id", "_d", "_o", "_t", "_n", "_ask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for name, t, plain, got in zip(*(c.to_pylist() for c in b.columns[1:])):
+            for name, t, plain, got, ask in zip(*(c.to_pylist() for c in b.columns[1:])):
                 n = {x["w"]: x["n"] for x in got or ()}
-                m = ScanModel({w: k for w, k in n.items() if " " not in w}, {w: k for w, k in n.items() if " " in w}, total, shifts)
+                m = ScanModel({w: k for w, k in n.items() if " " not in w}, {w: k for w, k in n.items() if " " in w}, total, shifts, {w[1:] for w in ask if w[0] == IN_DOUBT})
                 broken, misread, new = examine(plain, m)
                 rows.append((broken, misread, paragraphs(new, name) if broken or misread else t))
             cols = list(zip(*rows)) or [(), (), ()]
