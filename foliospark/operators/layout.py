@@ -52,6 +52,20 @@ def kv_confidence(key: Column) -> Column:
     return F.least(F.greatest(1 - F.octet_length(key) / 40.0 - 0.1 * F.greatest(n - 2, F.lit(0)), F.lit(0.5)), F.lit(1.0))
 
 
+# Words that begin or stand in sentences, not in labels.
+PROSE = (
+    "as the this that these those it is was were has have had will would should could may might shall can do does did being been are for with from into about after before during between through "
+    "however therefore furthermore moreover although because since while when where which who whom whose according"
+).split()
+
+
+def prose_prefix(key: Column) -> Column:
+    """Whether a key reads like a sentence: its first word is one of PROSE, or any word of more than two."""
+    words = F.filter(F.split(F.lower(key), r"\s+"), lambda w: w != "")
+    prose = F.array(*[F.lit(w) for w in PROSE])
+    return F.coalesce(F.array_contains(prose, F.get(words, F.lit(0))), F.lit(False)) | ((F.size(words) > 2) & F.arrays_overlap(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), prose))
+
+
 def classify(fragments: DataFrame, profile: str = "standard") -> DataFrame:
     """Each fragment with its element type and confidence, by the stages in order: tags, header and footer zones, key-value, title, list item, paragraph."""
     ratio, zone_share = PROFILES[profile]
@@ -62,7 +76,7 @@ def classify(fragments: DataFrame, profile: str = "standard") -> DataFrame:
     short = (F.char_length(t) <= 100) & ~body_tag
     top, bottom = F.col("y") - h * (1 - zone_share), zone - (F.col("y") + F.col("height"))
     key = F.regexp_extract(t, r"^([^:\n]+):\s*\S", 1)
-    is_kv = (key != "") & (F.octet_length(key) < 40) & (F.size(T.words(key)) <= 4) & ~key.contains(".")
+    is_kv = (key != "") & (F.octet_length(key) < 40) & (F.size(T.words(key)) <= 4) & ~key.contains(".") & ~prose_prefix(key)
     big = F.col("font_size") / F.col("body") >= ratio
     bold_short = F.col("is_bold") & (F.char_length(t) <= 120) & ~T.ends_sentence(t) & ~body_tag
     kind = (

@@ -72,12 +72,21 @@ def body_font_size(spark: SparkSession, d: str) -> DataFrame:
     return L.body_font(table(spark, d, "fragments"))
 
 
+_PROSE = "[" + ", ".join(f"'{w}'" for w in L.PROSE) + "]"
+
+
+def sql_prose(key: str) -> str:
+    """DuckDB: whether a key reads like a sentence."""
+    w = f"list_filter(regexp_split_to_array(lower({key}), '[\\t-\\r ]+'), lambda w: w <> '')"
+    return f"(coalesce(list_contains({_PROSE}, ({w})[1]), false) OR (len({w}) > 2 AND list_has_any(({w})[2:], {_PROSE})))"
+
+
 @query("partition_elements", f"""
 WITH b AS (WITH c AS (SELECT doc_id, page_idx, round(font_size * 2) / 2 AS s, count(*) AS n FROM {_ONCE} GROUP BY ALL) SELECT DISTINCT ON (doc_id, page_idx) doc_id, page_idx, s AS body FROM c ORDER BY doc_id, page_idx, n DESC, s),
 x AS (SELECT o.*, b.body, y - page_height * 0.95 AS top, page_height * 0.05 - (y + height) AS bottom, coalesce(struct_tag IN ('P', 'Span', 'TD', 'TH', 'LBody'), false) AS body_tag, regexp_extract(text, '^([^:\\n]+):\\s*\\S', 1) AS k FROM {_ONCE} o JOIN b USING (doc_id, page_idx) WHERE trim(text) <> ''),
 y AS (SELECT *, CASE WHEN struct_tag SIMILAR TO 'H[1-6]?|Title' THEN 'title' WHEN struct_tag IN ('LI', 'Lbl') THEN 'list_item' WHEN struct_tag = 'Artifact' THEN 'artifact'
   WHEN top >= 0 AND length(text) <= 100 AND NOT body_tag THEN 'header' WHEN bottom >= 0 AND length(text) <= 100 AND NOT body_tag THEN 'footer'
-  WHEN k <> '' AND strlen(k) < 40 AND len({sql_words('k')}) <= 4 AND NOT contains(k, '.') THEN 'key_value'
+  WHEN k <> '' AND strlen(k) < 40 AND len({sql_words('k')}) <= 4 AND NOT contains(k, '.') AND NOT {sql_prose('k')} THEN 'key_value'
   WHEN font_size / body >= 1.3 OR (is_bold AND length(text) <= 120 AND NOT regexp_matches(text, '[.!?]$') AND NOT body_tag) THEN 'title'
   WHEN regexp_matches(text, '^[\\t\\n\\x0b\\f\\r ]*([-*•–—] |[0-9a-z][.)] |[0-9]{{2}}[.)] )') THEN 'list_item' ELSE 'paragraph' END AS elem_type FROM x)
 SELECT doc_id, page_idx, seq, elem_type, text, CASE WHEN elem_type = 'header' THEN least(greatest(top / (page_height * 0.05), 0.5), 1.0) WHEN elem_type = 'footer' THEN least(greatest(bottom / (page_height * 0.05), 0.5), 1.0)

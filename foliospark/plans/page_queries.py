@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..operators import layout as L
-from .layout_queries import _ELEMS, _ONCE
+from .layout_queries import _ELEMS, _ONCE, sql_prose
 from .registry import query, table
 
 
@@ -138,28 +138,9 @@ def nested_lookup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rag_chunks_sample").select("row_id", at("page_span.first").alias("first_page"), at("content_types.has_table").alias("has_table"), at("page_span.none.deeper").alias("missing"))
 
 
-# Words that begin or stand in sentences, not in labels.
-PROSE = (
-    "as the this that these those it is was were has have had will would should could may might shall can do does did being been are for with from into about after before during between through "
-    "however therefore furthermore moreover although because since while when where which who whom whose according"
-).split()
-
-
-def prose_prefix(key: Column) -> Column:
-    """Whether a key reads like a sentence: its first word is one of PROSE, or any word of more than two."""
-    words = F.filter(F.split(F.lower(key), r"\s+"), lambda w: w != "")
-    prose = F.array(*[F.lit(w) for w in PROSE])
-    return F.coalesce(F.array_contains(prose, F.get(words, F.lit(0))), F.lit(False)) | ((F.size(words) > 2) & F.arrays_overlap(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), prose))
-
-
-_PROSE_SQL = "[" + ", ".join(f"'{w}'" for w in PROSE) + "]"
-
-
-@query("prose_guard", f"""
-WITH k AS (SELECT doc_id, elem_seq, list_filter(regexp_split_to_array(lower(coalesce(kv_key, text)), '[\\t-\\r ]+'), lambda w: w <> '') AS w FROM {_ELEMS} WHERE coalesce(kv_key, text) IS NOT NULL)
-SELECT doc_id, elem_seq, coalesce(list_contains({_PROSE_SQL}, w[1]), false) OR (len(w) > 2 AND list_has_any(w[2:], {_PROSE_SQL})) AS prose FROM k""")
+@query("prose_guard", f"SELECT doc_id, elem_seq, {sql_prose('coalesce(kv_key, text)')} AS prose FROM {_ELEMS} WHERE coalesce(kv_key, text) IS NOT NULL")
 def prose_guard(spark: SparkSession, d: str) -> DataFrame:
-    return _elems(spark, d).where("coalesce(kv_key, text) is not null").select("doc_id", "elem_seq", prose_prefix(F.coalesce("kv_key", "text")).alias("prose"))
+    return _elems(spark, d).where("coalesce(kv_key, text) is not null").select("doc_id", "elem_seq", L.prose_prefix(F.coalesce("kv_key", "text")).alias("prose"))
 
 
 # Telephone numbers by country.
