@@ -44,16 +44,18 @@ def mapped_fields(df: DataFrame, key: str = "row_id") -> DataFrame:
 
 def class_members(df: DataFrame, flagged: DataFrame, key: str = "row_id") -> DataFrame:
     """(class, member, ordinary, n): the spellings of each class with a flagged value and how often each occurs; class is a hash of the collation key."""
-    return df.sparkSession.sql(
+    spark = df.sparkSession
+    met = spool(spark.sql("SELECT DISTINCT xxhash64(mapped COLLATE UNICODE) AS class FROM {flagged}", flagged=flagged))  # small enough to be sent to the values, or at least without texts
+    return spark.sql(
         f"""
-        WITH met AS (SELECT DISTINCT xxhash64(mapped COLLATE UNICODE) AS class FROM {{flagged}}),
-             same AS (SELECT xxhash64(v.value COLLATE UNICODE) AS class, v.{key}, v.field, v.value FROM {{values}} v),
-             plain AS (SELECT s.class, s.value FROM same s LEFT SEMI JOIN met ON s.class = met.class LEFT ANTI JOIN {{flagged}} f ON s.{key} = f.{key} AND s.field = f.field)
+        WITH same AS (SELECT xxhash64(v.value COLLATE UNICODE) AS class, v.{key}, v.field, v.value FROM {{values}} v),
+             plain AS (SELECT s.class, s.value FROM same s LEFT SEMI JOIN {{met}} met ON s.class = met.class LEFT ANTI JOIN {{flagged}} f ON s.{key} = f.{key} AND s.field = f.field)
         SELECT class, value AS member, true AS ordinary, count(*) AS n FROM plain GROUP BY class, value
         UNION ALL
         SELECT xxhash64(mapped COLLATE UNICODE), mapped, false, count(*) FROM {{flagged}} GROUP BY mapped
         """,
         flagged=flagged,
+        met=met,
         values=fields(df, key),
     )
 
