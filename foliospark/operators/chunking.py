@@ -130,17 +130,29 @@ def _sentences(t: str) -> list[str]:
     return [s.strip() for s in [*out, cur] if s.strip()]
 
 
+#: A token counter: any function of a text; sums over parts are taken for the whole.
+TokenCounter = Callable[[str], int]
+
+
+def count_words(text: str) -> int:
+    return len(text.split())
+
+
+def characters_over_four(text: str) -> int:
+    """An estimate for texts of any language: four characters a token, rounded up."""
+    return -(-len(text) // 4)
+
+
 class HybridFold:
     """Chunks of a document's elements as they come in order, under a budget of words over the joined text; holds one chunk."""
 
-    def __init__(self, max_tokens: int = 512, merge: bool = True):
-        self.max_tokens, self.merge = max_tokens, merge
+    def __init__(self, max_tokens: int = 512, merge: bool = True, count: TokenCounter = count_words):
+        self.max_tokens, self.merge, self.tokens = max_tokens, merge, count
         self.buf: list[dict] = []
         self.cost = 0
 
-    @staticmethod
-    def _chunk(items: list[dict], text: str, over: bool) -> dict:
-        return {"text": text, "heading": items[0]["heading"], "n_elements": len(items), "tokens": len(text.split()), "oversized": over, "first_seq": items[0]["seq"]}
+    def _chunk(self, items: list[dict], text: str, over: bool) -> dict:
+        return {"text": text, "heading": items[0]["heading"], "n_elements": len(items), "tokens": self.tokens(text), "oversized": over, "first_seq": items[0]["seq"]}
 
     def end(self) -> Iterator[dict]:
         if self.buf:
@@ -148,7 +160,7 @@ class HybridFold:
         self.buf, self.cost = [], 0
 
     def push(self, e: dict) -> Iterator[dict]:
-        n = len(e["text"].split())
+        n = self.tokens(e["text"])
         if self.merge and self.buf and self.buf[-1]["type"] in INLINE and e["type"] in INLINE and self.cost + n <= self.max_tokens:
             self.buf.append(e)
             self.cost += n
@@ -159,13 +171,13 @@ class HybridFold:
         elif e["type"] in SPLITTABLE:
             cur = ""
             for s in _sentences(e["text"]):
-                if cur and len(cur.split()) + len(s.split()) > self.max_tokens:
-                    yield self._chunk([e], cur, len(cur.split()) > self.max_tokens)
+                if cur and self.tokens(cur) + self.tokens(s) > self.max_tokens:
+                    yield self._chunk([e], cur, self.tokens(cur) > self.max_tokens)
                     cur = s
                 else:
                     cur = f"{cur} {s}" if cur else s
             if cur:
-                yield self._chunk([e], cur, len(cur.split()) > self.max_tokens)
+                yield self._chunk([e], cur, self.tokens(cur) > self.max_tokens)
         else:
             yield self._chunk([e], e["text"], True)
 
@@ -190,15 +202,14 @@ class SemanticFold:
     fits, and no longer once another element has opened the next chunk.
     """
 
-    def __init__(self, max_tokens: int = 512, overlap: int = 50):
-        self.max_tokens, self.overlap = max_tokens, overlap
+    def __init__(self, max_tokens: int = 512, overlap: int = 50, count: TokenCounter = count_words):
+        self.max_tokens, self.overlap, self.tokens = max_tokens, overlap, count
         self.buf: list[tuple[str, int]] = []
         self.count = 0
 
-    @staticmethod
-    def _chunk(parts: list[str], over: bool = False) -> dict:
+    def _chunk(self, parts: list[str], over: bool = False) -> dict:
         text = "\n".join(parts)
-        return {"text": text, "n_elements": len(parts), "tokens": len(text.split()), "oversized": over}
+        return {"text": text, "n_elements": len(parts), "tokens": self.tokens(text), "oversized": over}
 
     def _flush(self) -> Iterator[dict]:
         if not self.buf:
@@ -215,7 +226,7 @@ class SemanticFold:
         self.buf, self.count = keep[::-1], total
 
     def push(self, e: dict) -> Iterator[dict]:
-        n = len(e["text"].split())
+        n = self.tokens(e["text"])
         if e["type"] in WHOLE:
             if self.count > 0 and self.count + n > self.max_tokens:
                 yield from self._flush()
@@ -235,7 +246,7 @@ class SemanticFold:
             yield from self._flush()
             cur, k = "", 0
             for s in greedy_sentences(e["text"]):
-                m = len(s.split())
+                m = self.tokens(s)
                 if cur and k + m > self.max_tokens:
                     yield self._chunk([cur])
                     cur, k = "", 0
@@ -301,12 +312,12 @@ def _shown(elements: DataFrame) -> DataFrame:
     )
 
 
-def hybrid_chunks(elements: DataFrame, max_tokens: int = 512, merge: bool = True) -> DataFrame:
-    """Elements (doc_id, elem_seq, elem_type, text, ...) to chunks under a budget of words, in document order."""
+def hybrid_chunks(elements: DataFrame, max_tokens: int = 512, merge: bool = True, count: TokenCounter = count_words) -> DataFrame:
+    """Elements (doc_id, elem_seq, elem_type, text, ...) to chunks under a budget of tokens, words unless another counter is given, in document order."""
     columns = {"text": pa.string(), "heading": pa.string(), "n_elements": pa.int32(), "tokens": pa.int32(), "oversized": pa.bool_(), "first_seq": pa.int32()}
-    return fold_documents(_shown(elements), lambda: HybridFold(max_tokens, merge), columns)
+    return fold_documents(_shown(elements), lambda: HybridFold(max_tokens, merge, count), columns)
 
 
-def semantic_chunks(elements: DataFrame, max_tokens: int = 512, overlap: int = 50) -> DataFrame:
+def semantic_chunks(elements: DataFrame, max_tokens: int = 512, overlap: int = 50, count: TokenCounter = count_words) -> DataFrame:
     columns = {"text": pa.string(), "n_elements": pa.int32(), "tokens": pa.int32(), "oversized": pa.bool_()}
-    return fold_documents(_shown(elements), lambda: SemanticFold(max_tokens, overlap), columns)
+    return fold_documents(_shown(elements), lambda: SemanticFold(max_tokens, overlap, count), columns)

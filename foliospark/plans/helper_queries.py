@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,40 +98,43 @@ WITH a AS (SELECT DISTINCT font_name FROM {_ONCE} WHERE page_idx % 2 = 0 AND fon
 SELECT font_name, 'missing' AS difference FROM (FROM a EXCEPT FROM b) UNION ALL SELECT font_name, 'extra' FROM (FROM b EXCEPT FROM a)""")
 def font_diff(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "fragments").where("font_name is not null")
-    a, b = f.where("page_idx % 2 = 0").select("font_name"), f.where("page_idx % 2 = 1").select("font_name")
-    return a.exceptAll(b).select("font_name").distinct().join(b, "font_name", "left_anti").withColumn("difference", F.lit("missing")).unionByName(b.distinct().join(a, "font_name", "left_anti").withColumn("difference", F.lit("extra")))
+    sides = f.groupBy("font_name").agg(F.bool_or(F.col("page_idx") % 2 == 0).alias("a"), F.bool_or(F.col("page_idx") % 2 == 1).alias("b"))
+    return sides.where("a <> b").select("font_name", F.when(F.col("a"), "missing").otherwise("extra").alias("difference"))
 
 
 @query("outline_totals", """
-WITH RECURSIVE t AS (SELECT r_regionkey AS root, n_nationkey AS node, 1 AS depth FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT t.root, CAST(100 + c_custkey AS BIGINT), 2 FROM t JOIN customer ON c_nationkey = t.node AND t.depth = 1)
-SELECT root, count(*) AS descendants, max(depth) AS depth FROM t GROUP BY root""")
+WITH RECURSIVE i AS (SELECT DISTINCT doc_id, heading_path[:k] AS item, k FROM elements, unnest(range(1, len(heading_path) + 1)) t(k) WHERE k <= len(heading_path)),
+t AS (SELECT doc_id, item AS root, item AS node, 1 AS depth FROM i WHERE k = 1 UNION ALL SELECT t.doc_id, t.root, i.item, t.depth + 1 FROM t JOIN i ON i.doc_id = t.doc_id AND i.k = len(t.node) + 1 AND i.item[:len(t.node)] = t.node)
+SELECT doc_id, root[1] AS root, count(*) - 1 AS descendants, max(depth) AS depth FROM t GROUP BY doc_id, root""")
 def outline_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Descendants of each root, by a recursive common table expression over a parent table."""
-    table(spark, d, "nation").createOrReplaceTempView("_outline_nation")
-    table(spark, d, "customer").createOrReplaceTempView("_outline_customer")
-    return spark.sql("""
-        WITH RECURSIVE edges AS (SELECT concat('r', n_regionkey) AS parent, concat('n', n_nationkey) AS child FROM _outline_nation UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM _outline_customer),
-        t(root, node, depth) AS (SELECT parent, child, 1 FROM edges WHERE parent LIKE 'r%' UNION ALL SELECT t.root, e.child, t.depth + 1 FROM t JOIN edges e ON e.parent = t.node)
-        SELECT cast(substr(root, 2) AS bigint) AS root, count(*) AS descendants, max(depth) AS depth FROM t GROUP BY root""")
+    """Descendants of each top heading in the outline of its document: every item of the heading paths, counted once, under its first heading."""
+    h = table(spark, d, "elements").where(F.size("heading_path") > 0).select("doc_id", "heading_path", F.explode(F.sequence(F.lit(1), F.size("heading_path"))).alias("k"))
+    items = h.select("doc_id", F.slice("heading_path", F.lit(1), F.col("k")).alias("item")).distinct()
+    return items.groupBy("doc_id", F.element_at("item", 1).alias("root")).agg((F.count("*") - 1).alias("descendants"), F.max(F.size("item")).alias("depth"))
+
+
+_JOB_PAGES = "(SELECT doc_id, count(DISTINCT page_idx) AS n FROM fragments GROUP BY 1)"
 
 
-@query("batch_run")
+@query("batch_run", f"""
+WITH i AS (SELECT job_id, kind, u.s AS slug, u.k AS k FROM batch_jobs, unnest(inputs) WITH ORDINALITY u(s, k)),
+     w AS (SELECT i.*, p.n FROM i LEFT JOIN {_JOB_PAGES} p ON p.doc_id = i.slug)
+SELECT b.job_id, coalesce(bool_and(n IS NOT NULL), false) AS ok, string_agg(CASE WHEN w.slug IS NOT NULL AND n IS NULL THEN w.slug END, ', ' ORDER BY k) AS missing,
+ CASE b.kind WHEN 'split' THEN coalesce(sum(n), 0) WHEN 'merge' THEN CASE WHEN count(n) > 0 THEN 1 ELSE 0 END ELSE count(n) END::BIGINT AS outputs, coalesce(sum(n), 0)::BIGINT AS pages
+FROM batch_jobs b LEFT JOIN w USING (job_id) GROUP BY b.job_id, b.kind""")
 def batch_run(spark: SparkSession, d: str) -> DataFrame:
-    """(job_id, ok, message, outputs): each job in a worker; a job that fails gives a row, not a failed query."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for j, kind, inputs in zip(pdf.job_id, pdf.kind, pdf.inputs):
-                try:
-                    if kind == "custom":
-                        raise ValueError("no operation is registered for custom jobs")
-                    rows.append((j, True, None, [f"{s}.{kind}" for s in inputs]))
-                except ValueError as e:
-                    rows.append((j, False, str(e), []))
-            yield pd.DataFrame(rows, columns=["job_id", "ok", "message", "outputs"])
-
-    return table(spark, d, "batch_jobs").select("job_id", "kind", "inputs").mapInPandas(run, "job_id bigint, ok boolean, message string, outputs array<string>")
+    """(job_id, ok, missing, outputs, pages): every job done on the pages its inputs have.
+
+    Splitting writes a file a page, merging one file, other kinds one for each input.
+    An input without pages fails its job, not the others, and is named.
+    """
+    pages = table(spark, d, "fragments").groupBy(F.col("doc_id").alias("slug")).agg(F.count_distinct("page_idx").alias("n"))
+    j = table(spark, d, "batch_jobs").select("job_id", "kind", F.posexplode_outer("inputs").alias("k", "slug")).join(pages, "slug", "left")
+    missing = F.array_sort(F.collect_list(F.when(F.col("slug").isNotNull() & F.col("n").isNull(), F.struct("k", "slug"))))
+    g = j.groupBy("job_id", "kind").agg(F.coalesce(F.bool_and(F.col("n").isNotNull()), F.lit(False)).alias("ok"), missing.alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("pages"), F.count("n").alias("done"))
+    outputs = F.when(F.col("kind") == "split", F.col("pages")).when(F.col("kind") == "merge", F.least(F.col("done"), F.lit(1))).otherwise(F.col("done"))
+    names = F.when(F.size("m") > 0, F.array_join(F.transform("m", lambda x: x["slug"]), ", "))
+    return g.select("job_id", "ok", names.alias("missing"), outputs.alias("outputs"), "pages")
 
 
 @query("sliding_events", """

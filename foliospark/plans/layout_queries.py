@@ -81,19 +81,23 @@ def sql_prose(key: str) -> str:
     return f"(coalesce(list_contains({_PROSE}, ({w})[1]), false) OR (len({w}) > 2 AND list_has_any(({w})[2:], {_PROSE})))"
 
 
-@query("partition_elements", f"""
+def _partition_sql(ratio: float, zone: float) -> str:
+    return f"""
 WITH b AS (WITH c AS (SELECT doc_id, page_idx, round(font_size * 2) / 2 AS s, count(*) AS n FROM {_ONCE} GROUP BY ALL) SELECT DISTINCT ON (doc_id, page_idx) doc_id, page_idx, s AS body FROM c ORDER BY doc_id, page_idx, n DESC, s),
-x AS (SELECT o.*, b.body, y - page_height * 0.95 AS top, page_height * 0.05 - (y + height) AS bottom, coalesce(struct_tag IN ('P', 'Span', 'TD', 'TH', 'LBody'), false) AS body_tag, regexp_extract(text, '^([^:\\n]+):\\s*\\S', 1) AS k FROM {_ONCE} o JOIN b USING (doc_id, page_idx) WHERE trim(text) <> ''),
+x AS (SELECT o.*, b.body, y - page_height * {1 - zone} AS top, page_height * {zone} - (y + height) AS bottom, coalesce(struct_tag IN ('P', 'Span', 'TD', 'TH', 'LBody'), false) AS body_tag, regexp_extract(text, '^([^:\\n]+):\\s*\\S', 1) AS k FROM {_ONCE} o JOIN b USING (doc_id, page_idx) WHERE trim(text) <> ''),
 y AS (SELECT *, CASE WHEN struct_tag SIMILAR TO 'H[1-6]?|Title' THEN 'title' WHEN struct_tag IN ('LI', 'Lbl') THEN 'list_item' WHEN struct_tag = 'Artifact' THEN 'artifact'
   WHEN top >= 0 AND length(text) <= 100 AND NOT body_tag THEN 'header' WHEN bottom >= 0 AND length(text) <= 100 AND NOT body_tag THEN 'footer'
   WHEN k <> '' AND strlen(k) < 40 AND len({sql_words('k')}) <= 4 AND NOT contains(k, '.') AND NOT {sql_prose('k')} THEN 'key_value'
-  WHEN font_size / body >= 1.3 OR (is_bold AND length(text) <= 120 AND NOT regexp_matches(text, '[.!?]$') AND NOT body_tag) THEN 'title'
+  WHEN font_size / body >= {ratio} OR (is_bold AND length(text) <= 120 AND NOT regexp_matches(text, '[.!?]$') AND NOT body_tag) THEN 'title'
   WHEN regexp_matches(text, '^[\\t\\n\\x0b\\f\\r ]*([-*•–—] |[0-9a-z][.)] |[0-9]{{2}}[.)] )') THEN 'list_item' ELSE 'paragraph' END AS elem_type FROM x)
-SELECT doc_id, page_idx, seq, elem_type, text, CASE WHEN elem_type = 'header' THEN least(greatest(top / (page_height * 0.05), 0.5), 1.0) WHEN elem_type = 'footer' THEN least(greatest(bottom / (page_height * 0.05), 0.5), 1.0)
+SELECT doc_id, page_idx, seq, elem_type, text, CASE WHEN elem_type = 'header' THEN least(greatest(top / (page_height * {zone}), 0.5), 1.0) WHEN elem_type = 'footer' THEN least(greatest(bottom / (page_height * {zone}), 0.5), 1.0)
   WHEN elem_type = 'key_value' THEN least(greatest(1 - strlen(k) / 40.0 - 0.1 * greatest(len({sql_words('k')}) - 2, 0), 0.5), 1.0)
-  WHEN elem_type = 'title' AND struct_tag IS NULL AND font_size / body >= 1.3 THEN least(greatest(0.5 + 0.5 * (font_size / body - 1.3) / 1.3, 0.5), 1.0) ELSE 1.0 END AS confidence FROM y""")
-def partition_elements(spark: SparkSession, d: str) -> DataFrame:
-    return L.classify(table(spark, d, "fragments"))
+  WHEN elem_type = 'title' AND struct_tag IS NULL AND font_size / body >= {ratio} THEN least(greatest(0.5 + 0.5 * (font_size / body - {ratio}) / {ratio}, 0.5), 1.0) ELSE 1.0 END AS confidence FROM y"""
+
+
+query("partition_elements", _partition_sql(1.3, 0.05))(lambda spark, d: L.classify(table(spark, d, "fragments")))
+query("partition_elements_academic", _partition_sql(1.4, 0.08))(lambda spark, d: L.classify(table(spark, d, "fragments"), "academic"))
+query("partition_elements_presentation", _partition_sql(1.2, 0.10))(lambda spark, d: L.classify(table(spark, d, "fragments"), "presentation"))
 
 
 @query("reading_order_xy_cut")
@@ -164,10 +168,18 @@ def boxes_overlap(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["doc_id", "page_idx"]).where((F.col("a") < F.col("b")) & meet).select("doc_id", "page_idx", "a", "b")
 
 
-@query("fragment_claims", f"SELECT o.doc_id, o.page_idx, o.seq FROM {_ONCE} o WHERE NOT EXISTS (SELECT 1 FROM elements e WHERE e.doc_id = o.doc_id AND e.page_idx = o.page_idx AND e.elem_type = 'table')")
+_TABLES = f"(SELECT doc_id, page_idx, bbox AS t FROM {_ELEMS} WHERE elem_type = 'table' AND bbox IS NOT NULL)"
+
+
+@query("fragment_claims", f"""
+SELECT o.doc_id, o.page_idx, o.seq FROM {_ONCE} o WHERE EXISTS (SELECT 1 FROM {_TABLES} e WHERE e.doc_id = o.doc_id AND e.page_idx = o.page_idx AND o.x + o.width / 2 BETWEEN t.x AND t.x + t.width AND o.y + o.height / 2 BETWEEN t.y AND t.y + t.height)""")
 def fragment_claims(spark: SparkSession, d: str) -> DataFrame:
-    claimed = table(spark, d, "elements").where("elem_type = 'table'").select("doc_id", "page_idx")
-    return L.once(table(spark, d, "fragments")).join(claimed, ["doc_id", "page_idx"], "left_anti").select("doc_id", "page_idx", "seq")
+    """Fragments that a table claims: those whose middle lies in its box, one by one."""
+    t = table(spark, d, "elements").dropDuplicates(["doc_id", "elem_seq"]).where("elem_type = 'table' and bbox is not null").select("doc_id", "page_idx", "bbox")
+    f = L.once(table(spark, d, "fragments"))
+    mx, my = f["x"] + f["width"] / 2, f["y"] + f["height"] / 2
+    inside = (f["doc_id"] == t["doc_id"]) & (f["page_idx"] == t["page_idx"]) & mx.between(t["bbox.x"], t["bbox.x"] + t["bbox.width"]) & my.between(t["bbox.y"], t["bbox.y"] + t["bbox.height"])
+    return f.join(t, inside, "left_semi").select("doc_id", "page_idx", "seq")
 
 
 _MD_ROW = "'| ' || array_to_string(list_transform({r}, lambda c: replace(coalesce(c, ''), '|', '\\|')), ' | ') || ' |'"

@@ -333,6 +333,59 @@ def scanned_pages(spark: SparkSession, d: str) -> DataFrame:
     return page_areas(spark, d).where((_page_kind() == "scanned") & (F.col("page_idx") < 10)).select("doc_id", "page_idx")
 
 
+# fragments folded in order
+
+
+def _ordered(frags: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, items): the fragments of a page from top to bottom and left to right; a page bounds the array."""
+    item = F.struct((-F.col("y")).alias("ny"), "x", "seq", "width", F.col("font_size").cast("double").alias("size"), "mcid", "text")
+    return frags.where(F.col("text").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+_IN_ORDER = f"(SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY y DESC, x, seq) AS rn FROM {_ONCE} WHERE text IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL)"
+
+
+@query("anchored_lines", f"""
+WITH RECURSIVE o AS MATERIALIZED (SELECT * FROM {_IN_ORDER}),
+r AS (SELECT doc_id, page_idx, seq, rn, y AS anchor, 0 AS line FROM o WHERE rn = 1
+ UNION ALL SELECT o.doc_id, o.page_idx, o.seq, o.rn, CASE WHEN abs(o.y - r.anchor) <= 5 THEN r.anchor ELSE o.y END, CASE WHEN abs(o.y - r.anchor) <= 5 THEN r.line ELSE r.line + 1 END FROM r JOIN o ON o.doc_id = r.doc_id AND o.page_idx = r.page_idx AND o.rn = r.rn + 1)
+SELECT doc_id, page_idx, seq, line FROM r""")
+def anchored_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a page, each held to the height of its first fragment: heights do not chain."""
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<struct<seq:int,line:int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = F.coalesce(F.abs(x["ny"] - s["anchor"]) <= 5, F.lit(False))
+        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
+        return F.struct(F.when(same, s["anchor"]).otherwise(x["ny"]).alias("anchor"), line.alias("line"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), line.alias("line")))).alias("out"))
+
+    return _ordered(_frags(spark, d)).select("doc_id", "page_idx", F.inline(F.aggregate("items", start, step, lambda s: s["out"])))
+
+
+@query("glued_fragments", f"""
+WITH RECURSIVE o AS MATERIALIZED (SELECT * FROM {_IN_ORDER}),
+r AS (SELECT doc_id, page_idx, rn, seq AS head, y, x + width AS stop, mcid, text, 1 AS parts FROM o WHERE rn = 1
+ UNION ALL SELECT o.doc_id, o.page_idx, o.rn, CASE WHEN m THEN head ELSE o.seq END, CASE WHEN m THEN t.y ELSE o.y END, o.x + o.width, CASE WHEN m THEN t.mcid ELSE o.mcid END,
+  CASE WHEN m THEN t.text || CASE WHEN o.x - t.stop > 0.3 * o.font_size THEN ' ' ELSE '' END || o.text ELSE o.text END, CASE WHEN m THEN parts + 1 ELSE 1 END
+  FROM r t JOIN o ON o.doc_id = t.doc_id AND o.page_idx = t.page_idx AND o.rn = t.rn + 1, LATERAL (SELECT coalesce(abs(t.y - o.y) < 1 AND o.x - t.stop >= 0 AND o.x - t.stop < 0.5 * o.font_size AND t.mcid IS NOT DISTINCT FROM o.mcid, false) AS m) q)
+SELECT doc_id, page_idx, head AS seq, arg_max(text, rn) AS text, max(parts) AS parts FROM r GROUP BY doc_id, page_idx, head""")
+def glued_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments that follow one another closer than half their size become one, with a blank where the gap is wide enough for one."""
+    kind = "array<struct<seq:int,text:string,parts:int>>"
+    start = F.struct(F.lit(None).cast("double").alias("ny"), F.lit(None).cast("double").alias("stop"), F.lit(None).cast("int").alias("mcid"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = x["x"] - s["stop"]
+        near = F.coalesce((F.abs(x["ny"] - s["ny"]) < 1) & (gap >= 0) & (gap < 0.5 * x["size"]) & s["mcid"].eqNullSafe(x["mcid"]), F.lit(False))
+        last = F.try_element_at(s["out"], F.lit(-1))
+        glued = F.struct(last["seq"].alias("seq"), F.concat(last["text"], F.when(gap > 0.3 * x["size"], " ").otherwise(""), x["text"]).alias("text"), (last["parts"] + 1).alias("parts"))
+        own = F.struct(x["seq"].alias("seq"), x["text"].alias("text"), F.lit(1).alias("parts"))
+        done = F.when(near, F.concat(F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0))), F.array(glued))).otherwise(F.concat(s["out"], F.array(own)))
+        return F.struct(F.when(near, s["ny"]).otherwise(x["ny"]).alias("ny"), (x["x"] + x["width"]).alias("stop"), F.when(near, s["mcid"]).otherwise(x["mcid"]).alias("mcid"), done.alias("out"))
+
+    return _ordered(_frags(spark, d)).select("doc_id", "page_idx", F.inline(F.aggregate("items", start, step, lambda s: s["out"])))
+
+
 # links and lookups
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
@@ -147,12 +147,12 @@ def similarity_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("document_diff", """
-WITH a AS (SELECT elem_type, count(*) AS n FROM elements WHERE page_idx % 2 = 0 AND elem_type <> 'image' GROUP BY 1), b AS (SELECT elem_type, count(*) AS n FROM elements WHERE page_idx % 2 = 1 AND elem_type <> 'code_block' GROUP BY 1)
+WITH a AS (SELECT elem_type, count(*) AS n FROM elements WHERE page_idx % 2 = 0 GROUP BY 1), b AS (SELECT elem_type, count(*) AS n FROM elements WHERE page_idx % 2 = 1 GROUP BY 1)
 SELECT coalesce(a.elem_type, b.elem_type) AS elem_type, a.n AS left_n, b.n AS right_n, CASE WHEN a.n IS NULL THEN 'extra' WHEN b.n IS NULL THEN 'missing' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS difference FROM a FULL JOIN b ON a.elem_type = b.elem_type""")
 def document_diff(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "elements")
-    a = e.where("page_idx % 2 = 0 and elem_type <> 'image'").groupBy("elem_type").agg(F.count("*").alias("left_n"))
-    b = e.where("page_idx % 2 = 1 and elem_type <> 'code_block'").groupBy("elem_type").agg(F.count("*").alias("right_n"))
+    a = e.where("page_idx % 2 = 0").groupBy("elem_type").agg(F.count("*").alias("left_n"))
+    b = e.where("page_idx % 2 = 1").groupBy("elem_type").agg(F.count("*").alias("right_n"))
     x, y = F.col("left_n"), F.col("right_n")
     return a.join(b, "elem_type", "full").withColumn("difference", F.when(x.isNull(), "extra").when(y.isNull(), "missing").when(x == y, "same").otherwise("changed"))
 
@@ -228,20 +228,23 @@ def dedupe_resources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rag_chunks_sample").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("row_id").alias("row_id"))
 
 
-_PAGES = "(SELECT slug, u.unnest AS page_idx FROM corpus_manifest, unnest(generate_series(0, 19)) u)"
+_PAGES = "(SELECT doc_id AS slug, page_idx, max(page_idx) OVER (PARTITION BY doc_id) AS last FROM (SELECT DISTINCT doc_id, page_idx FROM fragments))"
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "corpus_manifest").select("slug", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("page_idx"))
+    """(slug, page_idx, last): the pages there are, and the last one of each document."""
+    f = table(spark, d, "fragments").select(F.col("doc_id").alias("slug"), "page_idx").distinct()
+    return f.join(f.groupBy("slug").agg(F.max("page_idx").alias("last")), "slug")
 
 
-@query("merge_pages", f"SELECT slug, page_idx, row_number() OVER (ORDER BY slug, page_idx) - 1 AS new_idx FROM {_PAGES} WHERE page_idx < 5")
+@query("merge_pages", f"SELECT slug, page_idx, row_number() OVER (ORDER BY slug, page_idx) - 1 AS new_idx FROM {_PAGES}")
 def merge_pages(spark: SparkSession, d: str) -> DataFrame:
     """Documents one after another: each takes the place after the pages of those before it, by a prefix sum over documents, not over pages."""
-    p = _pages(spark, d).where("page_idx < 5")
+    p = _pages(spark, d)
     sizes = p.groupBy("slug").agg(F.count("*").alias("n"))
     base = sizes.select("slug", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("slug").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return p.join(base, "slug").select("slug", "page_idx", (F.col("base") + F.col("page_idx")).alias("new_idx"))
+    own = F.row_number().over(Window.partitionBy("slug").orderBy("page_idx")) - 1
+    return p.withColumn("_own", own).join(base, "slug").select("slug", "page_idx", (F.col("base") + F.col("_own")).alias("new_idx"))
 
 
 @query("split_pages", f"SELECT slug, page_idx, page_idx // 6 AS part, page_idx % 6 AS new_idx FROM {_PAGES}")
@@ -249,21 +252,32 @@ def split_pages(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("slug", "page_idx", F.floor(F.col("page_idx") / 6).alias("part"), (F.col("page_idx") % 6).alias("new_idx"))
 
 
-@query("rotate_pages", f"SELECT slug, page_idx, CASE WHEN page_idx BETWEEN 2 AND 7 THEN (270 + 180) % 360 ELSE 270 END AS rotation FROM {_PAGES}")
+def rotated(rotation: Column, by: Column) -> Column:
+    """A rotation turned further; multiples of 90 between 0 and 270."""
+    return F.pmod(rotation + by, F.lit(360))
+
+
+@query("rotate_pages", f"SELECT slug, page_idx, (page_idx % 4 * 90 + CASE WHEN page_idx BETWEEN 2 AND 7 THEN 180 ELSE 0 END) % 360 AS rotation FROM {_PAGES}")
 def rotate_pages(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("slug", "page_idx", F.when(F.col("page_idx").between(2, 7), F.pmod(F.lit(270) + 180, F.lit(360))).otherwise(F.lit(270)).alias("rotation"))
+    """Pages of a range turned by 180 degrees; a page's own rotation goes by its index."""
+    p = F.col("page_idx")
+    return _pages(spark, d).select("slug", "page_idx", rotated(p % 4 * 90, F.when(p.between(2, 7), 180).otherwise(0)).alias("rotation"))
 
 
 @query("reorder_pages", f"SELECT p.slug, p.page_idx, o.pos AS new_idx FROM {_PAGES} p JOIN (SELECT unnest([4, 0, 2, 2]) AS page_idx, unnest([0, 1, 2, 3]) AS pos) o USING (page_idx)")
 def reorder_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of a list in its order; a page may come again, one that isn't there is left out."""
     wanted = spark.range(1).select(F.posexplode(F.array(*map(F.lit, (4, 0, 2, 2)))).alias("new_idx", "page_idx"))
     return _pages(spark, d).join(F.broadcast(wanted), "page_idx").select("slug", "page_idx", "new_idx")
 
 
-@query("page_moves", f"SELECT slug, page_idx, 19 - page_idx AS reversed, CASE WHEN page_idx = 3 THEN 11 WHEN page_idx = 11 THEN 3 ELSE page_idx END AS swapped, CASE WHEN page_idx = 2 THEN 6 WHEN page_idx BETWEEN 3 AND 6 THEN page_idx - 1 ELSE page_idx END AS moved, page_idx % 3 AS overlay FROM {_PAGES}")
+@query("page_moves", f"SELECT slug, page_idx, last - page_idx AS reversed, CASE WHEN page_idx = 0 THEN last WHEN page_idx = last THEN 0 ELSE page_idx END AS swapped, CASE WHEN page_idx = 0 THEN least(2, last) WHEN page_idx <= 2 THEN page_idx - 1 ELSE page_idx END AS moved, page_idx % least(3, last + 1) AS overlay FROM {_PAGES}")
 def page_moves(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("page_idx")
-    return _pages(spark, d).select("slug", p, (19 - p).alias("reversed"), F.when(p == 3, 11).when(p == 11, 3).otherwise(p).alias("swapped"), F.when(p == 2, 6).when(p.between(3, 6), p - 1).otherwise(p).alias("moved"), F.pmod(p, F.lit(3)).alias("overlay"))
+    """Where each page goes when a document is reversed, its ends are swapped, or its first page moves two on; and the page of a shorter document laid over it."""
+    p, last = F.col("page_idx"), F.col("last")
+    swapped = F.when(p == 0, last).when(p == last, 0).otherwise(p)
+    moved = F.when(p == 0, F.least(F.lit(2), last)).when(p <= 2, p - 1).otherwise(p)
+    return _pages(spark, d).select("slug", p, (last - p).alias("reversed"), swapped.alias("swapped"), moved.alias("moved"), F.pmod(p, F.least(F.lit(3), last + 1)).alias("overlay"))
 
 
 @query("chunk_pages", "SELECT row_id, list_sort(list_distinct(list_transform(list_filter(metadata.page_numbers, lambda p: p > 0), lambda p: p - 1))) AS pages FROM rag_chunks_sample")

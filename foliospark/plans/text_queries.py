@@ -207,6 +207,7 @@ def _fixed(size: int, overlap: int):
 
 
 query("fixed_window_chunks", _CHUNK_SQL.replace("{size}", "128").replace("{ov}", "16"))(_fixed(128, 16))
+query("legacy_chunks", _CHUNK_SQL.replace("{size}", "100").replace("{ov}", "10"))(_fixed(100, 10))  # the overlap is a tenth of the target
 query("fixed_window_chunks_512", _CHUNK_SQL.replace("{size}", "512").replace("{ov}", "50"))(_fixed(512, 50))
 
 
@@ -237,6 +238,12 @@ def hybrid_chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.hybrid_chunks(table(spark, d, "elements"), 512)
 
 
+@query("hybrid_chunks_by_characters")
+def hybrid_chunks_by_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The same with another token counter: four characters a token."""
+    return C.hybrid_chunks(table(spark, d, "elements"), 512, count=C.characters_over_four)
+
+
 @query("semantic_chunks")
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.semantic_chunks(table(spark, d, "elements"), 256, 40)

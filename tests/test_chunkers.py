@@ -88,3 +88,9 @@ def test_folds_on_frames(spark):
             assert got == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_another_counter():
+    rows = [("paragraph", "abcdefgh"), ("paragraph", "ijkl"), ("paragraph", "mnopqrst")]
+    assert texts(C.HybridFold(3, count=C.characters_over_four), rows) == ["abcdefgh\nijkl", "mnopqrst"]
+    assert texts(C.SemanticFold(3, 0, count=C.characters_over_four), rows) == ["abcdefgh\nijkl", "mnopqrst"]
