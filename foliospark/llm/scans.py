@@ -59,6 +59,8 @@ _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"\S+")
 _CORE = re.compile(r"^\W*(.*?)\W*$", re.S)
 _BREAK = re.compile(r"([^\W\d_][^\W_]*)([-¬‐])[ \t]*_?[ \t]*\r?\n[ \t]*([^\W_]+)")
+#: What breaks a word at a line end.
+MARKS = ("-", "¬", "‐")
 _CUT = re.compile(r"([^\W\d_]+)([-¬‐][ \t]*_?[ \t\r]*)$")
 _FIRST = re.compile(r"[ \t]*([^\W_]+)")
 #: An accent read as a quotation mark.
@@ -236,7 +238,7 @@ class Asker:
         found = [(x.group(1).lower(), x.group(3).lower()) for x in _BREAK.finditer(text)]
         lines = text.split("\n")
         for i, line in enumerate(lines[:-2]):
-            if x := _CUT.search(line):
+            if line.rstrip(" \t\r_")[-1:] in MARKS and (x := _CUT.search(line)):
                 firsts = [_FIRST.match(y) for y in lines[i + 2 : i + 5]]
                 found += [(x.group(1).lower(), y.group(1).lower()) for y in firsts if y and y.group(1)[:1].islower()]
         return found
@@ -245,7 +247,7 @@ class Asker:
         """Words, pairs as 'a b', and the words in doubt behind IN_DOUBT; None for texts that hold nothing in doubt."""
         if "_" in text:
             text = _STRAY.sub("-", text)
-        text, torn = _TORN.subn(_with_accent, text)
+        text, torn = _TORN.subn(_with_accent, text) if "‘" in text else (text, 0)
         cut = self.breaks(text)
         odd = self.doubtful(set(_WORD.findall(text.lower())))
         if not cut and not odd:
@@ -300,7 +302,7 @@ def examine(text: str, m: ScanModel) -> tuple[int, int, str]:
         text = _BREAK.sub(join, text)
         lines = text.split("\n")
         for i, line in enumerate(lines[:-2]):  # a head or page number between the parts
-            x = _CUT.search(line)
+            x = _CUT.search(line) if line.rstrip(" \t\r_")[-1:] in MARKS else None
             if x:
                 for j in range(i + 2, min(i + 5, len(lines))):
                     y = _FIRST.match(lines[j])
