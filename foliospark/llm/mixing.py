@@ -20,12 +20,13 @@ BUCKET_BITS = 12
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """(mix_name, source, weight, max_repeats, target_share, available, budget) for each listed source.
+    """(mix_name, source, weight, max_repeats, target_share, available, budget, wanted) for each listed source.
 
     ``sizes``: (source, n_tokens) of the sources.  Without ``total`` a mix is as
     large as its scarcest source with any tokens allows, so that all such
     sources reach their shares; a source without tokens gets budget 0, and the
-    others keep their shares relative to one another.
+    others keep their shares relative to one another.  ``wanted`` is the share of
+    the requested total, or without one of the mix, whether or not it can be had.
     """
     mix = Window.partitionBy("mix_name")
     t = (
@@ -43,6 +44,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Data
     return t.withColumn("_total", size).select(
         "mix_name", "source", "weight", "max_repeats", "target_share", "available",
         F.coalesce(F.round(F.col("_total") * F.col("_share")), F.lit(0)).cast("long").alias("budget"),
+        F.round((F.col("_total") if total is None else F.lit(total)) * F.col("target_share")).cast("long").alias("wanted"),
     )
 
 
@@ -51,7 +53,7 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 42, total: int | Non
 
     ``records``: (doc_id, source, n_tokens).  selection: mix_name, doc_id,
     source, n_tokens, repeats (1 to max_repeats).  report: a row for each listed
-    source with its target and actual share; sources without records stay in it.
+    source with its target and actual share and the tokens it falls short by; sources without records stay in it.
     Records of 0 or null tokens are never selected.
     """
     wanted = targets.select("source").distinct()
@@ -92,7 +94,7 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 42, total: int | Non
         .withColumn("actual_share", F.col("actual_tokens") / F.sum("actual_tokens").over(Window.partitionBy("mix_name")))
         .select(
             "mix_name", "source", "weight", "max_repeats", "target_share", "available", "budget", "actual_tokens", "actual_share",
-            F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+            F.greatest(F.coalesce("wanted", F.lit(0)) - F.col("actual_tokens"), F.lit(0)).alias("shortfall"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         )
     )
     return selection, report

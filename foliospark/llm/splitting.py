@@ -1,9 +1,10 @@
 """Problem 3: cut oversized texts at natural boundaries, with overlap.
 
 Words are runs between Unicode white space.  Every word end is a boundary with a
-rank: paragraph, line, sentence, clause, plain word.  Each boundary is joined to
-its farthest legal successor: the best-ranked, then farthest boundary within the
-limit, of which the overlap carried over from the piece before is a part.  The
+rank: paragraph, sentence, line, clause, plain word.  Each boundary is joined to
+its farthest legal successor, legal being the boundaries of the best rank there is
+between half the limit and the limit, of which the overlap carried over from the
+piece before is a part.  The
 successor table of a whole batch of texts is one array, so squaring it (pointer
 doubling) derives all greedy cuts of all texts in a logarithmic number of
 vectorised steps.  Only oversized texts reach this stage; the others pass by as
@@ -30,7 +31,7 @@ LEAST_FILL = 0.5
 
 
 def _ranks(text: str, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each word: 4 paragraph, 3 line, 2 sentence, 1 clause, 0 plain; of the boundary after it."""
+    """For each word: 4 paragraph, 3 sentence, 2 line, 1 clause, 0 plain; of the boundary after it."""
     rank = np.zeros(len(ends), np.int8)
     for i in range(len(ends)):
         gap = text[ends[i] : starts[i + 1]] if i + 1 < len(ends) else "\n\n"
