@@ -58,17 +58,11 @@ def field_score(field: Column, value: Column) -> Column:
     )
 
 
-def near_bonus(field: Column, value: Column, text: Column) -> Column:
-    """What the first of the field's words nearest to the value's first place adds; distances are in bytes."""
-
-    def at(part: Column, of: Column) -> Column:
-        place = F.position(part, of)
-        return F.when(place > 0, F.octet_length(F.left(of, place - 1)))
-
-    low = F.lower(text)
+def near_bonus(field: Column, low: Column, at: Column) -> Column:
+    """What the first of the field's words nearest to the value adds; ``low`` is the text in small letters, ``at`` the value's first place; distances are in bytes."""
     nearest = None
     for name, words in NEAR.items():
-        distance = F.least(*[F.coalesce(F.abs(at(F.lit(w), low) - at(value, text)), F.lit(1 << 30)) for w in words])
+        distance = F.least(*[F.coalesce(F.abs(byte_place(F.lit(w), low) - at), F.lit(1 << 30)) for w in words])
         nearest = F.when(field == name, distance) if nearest is None else nearest.when(field == name, distance)
     bonus = F
     for most, add in NEAR_BONUS:
@@ -76,6 +70,12 @@ def near_bonus(field: Column, value: Column, text: Column) -> Column:
     return bonus.otherwise(0.0)
 
 
+def byte_place(part: Column, text: Column) -> Column:
+    """The bytes before the first occurrence; null without one."""
+    place = F.position(part, text)
+    return F.when(place > 0, F.octet_length(F.left(text, place - 1)))
+
+
 def invoice_fields(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", threshold: float = 0.7) -> DataFrame:
     """(key, field, value_str, value_num, confidence): the first match of each pattern of the document's language, from the threshold on.
 
@@ -83,15 +83,16 @@ def invoice_fields(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
     of its kind add, between 0 and 1.  The patterns are an array literal, so each
     document is read once and nothing is joined.  Null texts have no fields.
     """
-    low = F.lower(F.substring(F.coalesce(F.col(lang), F.lit("es")), 1, 2))
-    hits = [
-        F.when((low == la) & F.col(text).rlike(f"(?d){p}"), F.struct(F.lit(f).alias("field"), F.regexp_extract(text, f"(?d){p}", 1).alias("value_str"), F.lit(base).alias("base")))
-        for la, f, p, base in PATTERNS
-    ]
-    found = docs.where(F.col(text).isNotNull()).select(key, text, low.alias("_l"), F.explode(F.array_compact(F.array(*hits))).alias("m")).select(key, text, "_l", "m.*")
-    score = F.col("base") + field_score(F.col("field"), F.col("value_str")) + near_bonus(F.col("field"), F.col("value_str"), F.col(text))
+    la = F.lower(F.substring(F.coalesce(F.col(lang), F.lit("es")), 1, 2))
+    hits = [F.when(F.col("_l") == code, F.struct(F.lit(f).alias("field"), F.regexp_extract("_text", f"(?d){p}", 1).alias("value_str"), F.lit(base).alias("base"))) for code, f, p, base in PATTERNS]
+    read = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"), la.alias("_l"))
+    # no pattern matches with an empty value
+    found = read.select(key, "_text", F.lower("_text").alias("_low"), "_l", F.explode(F.array(*hits)).alias("m")).where("m.value_str <> ''").select(key, "_text", "_low", "_l", "m.*")
+    placed = found.withColumn("_at", byte_place(F.col("value_str"), F.col("_text")))
+    score = F.col("base") + field_score(F.col("field"), F.col("value_str")) + near_bonus(F.col("field"), F.col("_low"), F.col("_at"))
+    scored = placed.withColumn("confidence", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
     money = F.col("field").isin("net_amount", "tax_amount", "total_amount")
-    return found.withColumn("confidence", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).where(F.col("confidence") >= threshold).select(
+    return (scored.where(F.col("confidence") >= threshold) if threshold > 0 else scored).select(
         key, "field", "value_str", F.when(money, amount_value(F.col("value_str"), F.col("_l") != "en")).alias("value_num"), "confidence"
     )
 

@@ -37,7 +37,7 @@ def test_spanish_invoice(spark):
 
 @pytest.mark.parametrize(("gap", "bonus"), [(0, 0.15), (30, 0.10), (80, 0.05), (200, 0.0)])
 def test_nearness(spark, gap, bonus):
-    df = spark.createDataFrame([("x" * gap + "Fecha", "1/2/2024")], "a string, v string").select(X.near_bonus(F.lit("invoice_date"), F.col("v"), F.concat("v", "a")).alias("b"))
+    df = spark.createDataFrame([("x" * gap + "Fecha", "1/2/2024")], "a string, v string").withColumn("t", F.concat("v", "a")).select(X.near_bonus(F.lit("invoice_date"), F.lower("t"), X.byte_place(F.col("v"), F.col("t"))).alias("b"))
     assert float(df.first().b) == bonus
 
 
