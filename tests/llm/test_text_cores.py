@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -179,6 +180,29 @@ def test_gate_is_a_superset():
         assert not gate.ordinary(odd)
 
 
+def test_gate_searches_decide_as_sets_do():
+    """Sets of characters, and patterns without what makes their search fast."""
+    rng = random.Random(4)
+    latin, cyrillic, greek, other = sorted(gate.PLAIN), sorted(gate.PLAIN_CYRILLIC), sorted(gate.PLAIN_GREEK), sorted(gate._LOOKALIKE) + list("·ÃÂ¬µ×‡‹¢ÿ√�\x80ı")
+    seen = set()
+    for _ in range(30_000):
+        main, rest = rng.choice([latin, cyrillic, greek, list("aeAZ09 íìîâãñÓ–“ª«")]), rng.choice([latin, cyrillic, greek, other])
+        t = "".join(rng.choice(main if rng.random() < 0.8 else rest) for _ in range(rng.randrange(1, 12))) + rng.choice("éжω")
+        chars = set(t) - gate._LOOKALIKE
+        kind = "latin" if chars <= gate.PLAIN else "other" if chars <= gate.PLAIN_CYRILLIC or chars <= gate.PLAIN_GREEK else "beyond"
+        assert kind != "beyond" or gate.needs(t) == (True, True)
+        near = any(re.search(f"[{c}]{around}", t) for c, around in gate._BRANCHES)
+        assert near == bool(gate._PAIRS.search(t)) and bool(mojibake._ODD.search(t)) == bool(gate._ODD.search(t))
+        if kind == "latin":
+            encoding = bool(chars & gate._TRIGGERS) and near or "í" in t and bool(gate._ELISION.search(t)) or "ì" in t and bool(mojibake.LETTER_QUOTES.search(t))
+            assert gate.needs(t) == (encoding, encoding or len(chars) < len(set(t)) or "`" in t)
+        if kind == "other":
+            mixed = bool(gate._MIXED.search(t))
+            assert gate.needs(t) == (mixed or bool(mojibake._CYRILLIC_CAPS.search(t)), mixed or len(chars) < len(set(t)))
+        seen.add((kind, *gate.needs(t)))
+    assert {("other", False, False), ("other", False, True), ("other", True, True), ("latin", False, False), ("latin", False, True), ("latin", True, True), ("beyond", True, True)} <= seen
+
+
 def test_line_keys():
     k = repeated_lines.line_key
     assert k("Document  reference E8H3EGZQ | version 7.1 | 15/02/2022") == k("DOCUMENT REFERENCE 5Z9 | VERSION 8 | 1.1.2020 .")
